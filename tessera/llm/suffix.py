@@ -193,7 +193,7 @@ OUT = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("s", pa.int32())
 WINDOW = np.dtype([("f", "<u8"), ("d", "<i8"), ("nil", "<i8"), ("t", "<i8"), ("s", "<i8")])
 
 
-def _merge_rows(length, symbol, shards, parts, limit=4 << 20):
+def _merge_rows(length, symbol, shards, parts, limit=1 << 20):
     def merge(rows):
         ctxs = [r[6] for r in rows]
         flags, c = repeated(ctxs, np.array([r[5] for r in rows]), length, symbol, shards)
@@ -236,10 +236,12 @@ def _merge_rows(length, symbol, shards, parts, limit=4 << 20):
         for batch in batches:
             cols = [x.to_pylist() for x in batch.columns]
             for r in zip(*cols):
-                if r[:2] != last and size >= limit or size >= 4 * limit:
+                if r[:5] == last:  # the same row of a table that repeats rows
+                    continue
+                if last is not None and r[:2] != last[:2] and size >= limit:
                     yield from merge(rows)
                     rows, size = [], 0
-                last = r[:2]
+                last = r[:5]
                 rows.append(r)
                 size += len(r[6])
         if rows:
@@ -298,7 +300,7 @@ def repeat_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, s
     found = docs.join(want, same_row(docs, want)).select(docs["doc_id"], docs["tkey"], docs["text"], "want")
     contexts = found.mapInArrow(_cut_contexts(length), "key long, salt long, doc_id long, tkey long, s long, times long, ctx binary, salts long")
     parts = max(64, 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = contexts.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    dealt = contexts.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "tkey", "s")
     merged = written(dealt.mapInArrow(_merge_rows(length, symbol, shards, parts), f"{SPAN}, part int, packed binary"), "merged")
     far = merged.where("part is not null").groupBy("part").applyInPandas(_meet, "doc_id long, nil boolean, tkey long, s int")
     far = far.select(F.when(~F.col("nil"), F.col("doc_id")).alias("doc_id"), "tkey", "s", F.lit(1).alias("n"))
