@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, suffix, topk, urlfilter
+from . import decontaminate, mixing, suffix, topk, urlfilter
 from .common import table
 
 QUERIES, ORACLES = {}, {}
@@ -38,3 +38,8 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES |= {"op6_decontaminate": decontaminate.SQL, "op9_url_filter": urlfilter.SQL, "op10_top_k": topk.SQL}
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("copies", "rate")
