@@ -118,3 +118,52 @@ def radix_order(x: np.ndarray) -> np.ndarray:
     low = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
     high = (x >> 16).astype(np.uint16)
     return low if not len(x) or not high.any() else low[np.argsort(high[low], kind="stable")]
+
+
+#: Lower-cased byte of each byte, and whether it belongs to a word, for two kinds of words.
+_BYTE = np.arange(256)
+LOWERED = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
+UNSPACED = ~np.isin(_BYTE, (32, 9, 10, 11, 12, 13))
+ALNUM = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
+CHUNK = 1 << 20
+
+
+def _words_in(raw: np.ndarray, bounds: np.ndarray, kind: np.ndarray):
+    """Starts and ends of the words of raw; a word ends at each of bounds."""
+    inside = kind[raw]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cut = bounds[(bounds > 0) & (bounds < len(raw))]
+    first[cut] = inside[cut]
+    last[cut - 1] = inside[cut - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_groups(column: pa.Array, kind: np.ndarray = UNSPACED, limit: int = CHUNK, prefix: int = 0):
+    """Hashes of the lower-cased words of a text column, vectorised: (first row, hashes, offsets of its rows, last two bytes of each word, hashes of prefixes).
+
+    Prefixes have `prefix` bytes at most; with 0 there are none.
+    Rows come in groups of about `limit` bytes; a longer text is hashed in parts cut between words.
+    """
+    raw, off = text_buffer(column)
+    rows, a = len(off) - 1, 0
+    while a < rows:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
+        b = min(b, rows)
+        part = LOWERED[raw[off[a] : off[b]]]
+        starts, ends = _words_in(part, off[a : b + 1] - off[a], kind)
+        hashes = np.empty(len(starts), np.uint64)
+        heads = np.empty(len(starts) if prefix else 0, np.uint64)
+        k = 0
+        while k < len(starts):
+            m = max(k + 1, int(np.searchsorted(ends, starts[k] + 2 * limit)))
+            base = int(starts[k])
+            roll = Rolling(part[base : ends[m - 1]])
+            hashes[k:m] = roll.of(starts[k:m] - base, ends[k:m] - base)
+            if prefix:
+                heads[k:m] = roll.of(starts[k:m] - base, np.minimum(ends[k:m], starts[k:m] + prefix) - base)
+            k = m
+        tail = part[ends - 1].astype(np.uint16) << np.uint16(8) | part[np.maximum(ends - 2, starts)] if len(ends) else np.zeros(0, np.uint16)
+        yield a, hashes, np.searchsorted(starts, off[a : b + 1] - off[a]), tail, heads
+        a = b
