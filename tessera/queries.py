@@ -330,3 +330,15 @@ def enum_decode(spark, sf):
 def group_catalog(spark, sf):
     x = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
     return x.groupBy(F.upper("r_name").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("members"))
+
+
+@query()
+def media_decode_synth(spark, sf):
+    """The whole binary pipeline on built samples: normalised fields by file."""
+    from .operators import views
+    from .sources import assets, samples
+
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in samples.all_samples().items()], "path string, content binary")
+    decoded = assets.decode_assets(assets.memory_assets(df))
+    fields = views.normalize(assets.entries_of(decoded)).join(decoded.select("asset_id", "path"), "asset_id")
+    return fields.select("path", "field", F.col("value.kind").alias("kind"), views.tagged(F.col("value")).alias("value"))
