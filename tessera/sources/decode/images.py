@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 
+from . import makernotes
 from . import namespaces as N
 from .base import Out, ParseError, uint
 
@@ -34,6 +35,7 @@ def tiff(b: bytes, name: str, deep: bool) -> Out:
         out.node("ifd", label, a, e, "tiff")
     if deep:
         N.exif(out, t)
+        makernotes.maker_notes(out, t)
         if p := t.payload(0x02BC):
             _named(out, "xmp", N.xmp(out, p[1], p[0]))
         if p := t.payload(0x8773):
@@ -78,6 +80,7 @@ def jpeg(b: bytes, _: str, deep: bool) -> Out:
         return out
     if t:
         N.exif(out, t)
+        makernotes.maker_notes(out, t)
     for k, s, d in apps:
         if k == 2 and d.startswith(b"ICC_PROFILE\0"):
             _named(out, "icc", N.icc(out, d, s, "app2_icc"))
