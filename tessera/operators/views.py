@@ -74,9 +74,24 @@ def conflicts(entries: DataFrame) -> DataFrame:
 
 
 def tagged(v: Column) -> Column:
-    """A value as JSON text {"kind", "value"}."""
-    parts = [("string", v["s"]), ("timestamp", v["s"]), ("integer", v["i"]), ("float", v["d"]), ("rational", v["r"]), ("rational_list", v["rl"]), ("coordinates", v["c"])]
-    return F.coalesce(*(F.when(v["kind"] == k, F.to_json(F.struct(v["kind"].alias("kind"), x.alias("value")))) for k, x in parts), F.to_json(F.struct(v["kind"].alias("kind"), F.base64(v["b"]).alias("value"))))
+    """A value as JSON text {"kind", "value"}; bytes are a list of numbers."""
+    octets = F.transform(F.sequence(F.lit(1), F.octet_length(v["b"])), lambda i: F.conv(F.hex(F.substring(v["b"], i, F.lit(1))), 16, 10).cast("int"))
+    octets = F.when(F.octet_length(v["b"]) > 0, octets).otherwise(F.array().cast("array<int>"))
+    parts = [("string", v["s"]), ("timestamp", v["s"]), ("integer", v["i"]), ("float", v["d"]), ("rational", v["r"]), ("rational_list", v["rl"]), ("bytes", octets), ("coordinates", v["c"])]
+    return F.coalesce(*(F.when(v["kind"] == k, F.to_json(F.struct(v["kind"].alias("kind"), x.alias("value")))) for k, x in parts))
+
+
+def _some(a: Column) -> Column:
+    return F.when(F.size(a) > 0, a)
+
+
+def _source(p: Column) -> Column:
+    return F.struct(*(p[k].alias(k) for k in ("container", "namespace", "path", "offset_start", "offset_end")), _some(p["notes"]).alias("notes"))
+
+
+def _entry_json(e: Column, *more: str) -> Column:
+    extra = [_some(e["notes"]).alias("notes")] if "notes" in more else []
+    return F.struct(*(e[k].alias(k) for k in ("namespace", "tag_id", "tag_name")), F.parse_json(tagged(e["value"])).alias("value"), _source(e["provenance"]).alias("provenance"), *extra)
 
 
 def analysis(decoded: DataFrame, view: str = "full") -> DataFrame:
@@ -101,10 +116,31 @@ def analysis(decoded: DataFrame, view: str = "full") -> DataFrame:
 
 
 def to_json(analysed: DataFrame, pretty: bool = False) -> DataFrame:
-    """asset_id and json; absent members are left out, a report's lists are always there."""
-    rest = [F.col(c) for c in analysed.columns if c not in ("asset_id", "path", "detected_format", "container", "size_bytes")]
-    doc = F.struct(F.struct("path", "detected_format", "container").alias("input"), *rest)
-    return analysed.select("asset_id", F.to_json(doc, {"pretty": "true"} if pretty else {}).alias("json"))
+    """asset_id and json: the documents of fixed version. Absent and empty members are left out, but a report's lists are always there."""
+    without = lambda a, *names: F.transform(a, lambda x: F.struct(*(x[n].alias(n) for n in names)))
+    metadata = lambda a: F.transform(a, lambda e: _entry_json(e, "notes"))
+    have = analysed.columns
+    doc = [F.col("schema_version"), F.struct("path", "detected_format", "container").alias("input")]
+    doc += [F.when(F.col("status") != "ok", F.col(c)).alias(c) for c in ("status", "error_message")]
+    if "raw" in have:
+        doc.append(F.struct(without(F.col("raw.containers"), "kind", "label", "offset_start", "offset_end", "parent_label").alias("containers"), metadata(F.col("raw.metadata")).alias("metadata")).alias("raw"))
+    if "interpreted" in have:
+        doc.append(F.struct(metadata(F.col("interpreted.metadata")).alias("metadata")).alias("interpreted"))
+    if "normalized" in have:
+        field = lambda f: F.struct(f["field"].alias("field"), F.parse_json(tagged(f["value"])).alias("value"), f["confidence"].cast("double").alias("confidence"), F.transform(f["sources"], _source).alias("sources"), _some(f["notes"]).alias("notes"))
+        doc.append(F.struct(F.transform("normalized.fields", field).alias("fields")).alias("normalized"))
+    conflict = lambda c: F.struct(c["field"].alias("field"), c["message"].alias("message"), F.transform(c["sources"], lambda x: _entry_json(x)).alias("sources"))
+    doc.append(F.struct(without(F.col("report.issues"), "severity", "code", "message", "offset", "context").alias("issues"), F.transform("report.conflicts", conflict).alias("conflicts")).alias("report"))
+    return analysed.select("asset_id", F.to_json(F.struct(*doc), {"pretty": "true"} if pretty else {}).alias("json"))
+
+
+def probe(decoded: DataFrame) -> DataFrame:
+    """asset_id and json of assets decoded with probe=True: containers and issues, no namespaces."""
+    without = lambda a, *names: F.transform(a, lambda x: F.struct(*(x[n].alias(n) for n in names)))
+    nodes = without(F.col("nodes"), "kind", "label", "offset_start", "offset_end", "parent_label").alias("containers")
+    issues = without(F.col("issues"), "severity", "code", "message", "offset", "context").alias("issues")
+    report = F.struct(issues, F.array().cast("array<string>").alias("conflicts")).alias("report")
+    return decoded.select("asset_id", F.to_json(F.struct(F.lit(SCHEMA_VERSION).alias("schema_version"), F.struct("path", "detected_format", "container").alias("input"), nodes, report)).alias("json"))
 
 
 def capabilities(decoded: DataFrame) -> DataFrame:
@@ -113,4 +149,4 @@ def capabilities(decoded: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
-__all__ = ["analysis", "capabilities", "conflicts", "normalize", "tagged", "to_json"]
+__all__ = ["analysis", "capabilities", "conflicts", "normalize", "probe", "tagged", "to_json"]

@@ -82,7 +82,7 @@ def test_issues(decoded):
     assert [i["code"] for i in probed["issues"]] == ["no_metadata_entries"] and not probed["entries"] and len(probed["nodes"]) == 3
 
 
-def test_envelopes(decoded):
+def test_envelopes(decoded, spark):
     for view in views.VIEWS:
         rows = views.to_json(views.analysis(decoded, view)).collect()
         assert len(rows) == len(SAMPLES) + 1
@@ -90,8 +90,19 @@ def test_envelopes(decoded):
             doc = json.loads(r.json)
             assert set(doc) - {"status", "error_message", "schema_version", "input", "report"} == ({"raw", "interpreted", "normalized"} if view == "full" else {view} - {"report"})
             assert {"issues", "conflicts"} == set(doc["report"])
+    docs = {d["input"].get("path"): d for d in (json.loads(r.json) for r in views.to_json(views.analysis(decoded)).collect())}
+    photo = docs["gps.jpg"]
+    assert photo["schema_version"] == "0.1.0" and "status" not in photo and docs["none.bin"]["status"] == "unsupported_format"
+    by = {f["field"]: f for f in photo["normalized"]["fields"]}
+    assert by["captured_at"]["confidence"] == 0.949999988079071 and by["captured_at"]["value"] == {"kind": "timestamp", "value": "2024-04-16T12:34:56"}
+    assert by["exposure.aperture"]["value"] == {"kind": "rational", "value": {"numerator": 56, "denominator": 10}} and set(by["location"]["value"]["value"]) == {"latitude", "longitude"}
+    assert by["device.make"]["sources"][0]["path"] == "ifd0" and "notes" not in by["device.make"]
+    assert photo["raw"]["metadata"] == photo["interpreted"]["metadata"] and photo["raw"]["containers"][0]["label"] == "jpeg"
+    assert [len(c["sources"]) for c in docs["rich.jpg"]["report"]["conflicts"]] == [2, 2, 2, 2]
     with pytest.raises(ValueError):
         views.analysis(decoded, "other")
+    shallow = assets.decode_assets(assets.memory_assets(spark.createDataFrame([("x.jpg", bytearray(SAMPLES["gps.jpg"]))], "path string, content binary")), probe=True)
+    assert [i["code"] for i in json.loads(views.probe(shallow).first().json)["report"]["issues"]] == ["no_metadata_entries"]
     assert views.capabilities(decoded).where("detected_format = 'm4a' and namespace = 'itunes'").count() == 1
 
 
