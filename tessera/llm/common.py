@@ -41,6 +41,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread_join(big: DataFrame, other: DataFrame, keys: list[str], row: list[str], salts: int = 16) -> DataFrame:
+    """Inner join of a table whose keys may be hot with a written one that has few rows a key.
+
+    other is broadcast if it is counted to be small; else it is repeated for each salt, so that a hot key's rows, salted
+    by a hash of the row, go to several tasks.
+    """
+    if other.count() <= BROADCAST_ROWS:
+        return big.join(F.broadcast(other), keys)
+    salted = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+
+
 def text_key() -> Column:
     """Identity of a row's text; with doc_id it is the key under which results are joined back to rows."""
     return F.xxhash64("text", F.crc32(F.col("text").cast("binary")))

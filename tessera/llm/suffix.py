@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, keyed, mix, radix_order, same_row, text_buffer, written
+from .common import Rolling, keyed, mix, radix_order, same_row, spread_join, text_buffer, written
 
 LENGTH = 400
 GRAM = 64
@@ -289,7 +289,8 @@ def repeat_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, s
     classes = runs.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tkey", "s", "n")).alias("one"))
     shared = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     classes = written(classes.join(shared, "key", "left").where("times > 1 or kinds > 1"), "classes")
-    copies = runs.join(classes.where("times > 1").select("key", "ctx"), ["key", "ctx"]).select("doc_id", "tkey", "s", "n")
+    copied = classes.where("times > 1").select("key", "ctx")
+    copies = spread_join(runs, copied, ["key", "ctx"], ["doc_id", "tkey", "s"]).select("doc_id", "tkey", "s", "n")
     salts = F.ceil(F.col("kinds") / hot)
     want = (
         classes.where("kinds > 1")
