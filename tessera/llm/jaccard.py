@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UNSPACED, keyed, mix, same_row, word_groups, written
+from .common import UNSPACED, keyed, mix, same_row, spread_join, word_groups, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -297,9 +297,9 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
     out = written(out, "classes_linked")
     rows = rows.select("doc_id", "tkey", "cls")
     ids = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(out.select("cls", "label"), "cls").groupBy("label").agg(F.min("least").alias("class_id"))
-    out = out.join(ids, "label").select(F.col("cls").alias("c"), "label", "class_id", "n_links")
+    out = written(out.join(ids, "label").select("cls", "label", "class_id", "n_links"), "answers")
     alone = rows.where("cls is null").select("doc_id", "tkey", "cls", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.where("cls is not null").join(out, F.col("cls") == F.col("c")).drop("c").unionByName(alone)
+    return spread_join(rows.where("cls is not null"), out, ["cls"], ["doc_id", "tkey"]).unionByName(alone)
 
 
 def distinct_documents(documents: DataFrame, **how) -> DataFrame:
