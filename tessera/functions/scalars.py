@@ -64,8 +64,8 @@ def relative_mismatch(a: Column, b: Column, tolerance: float = 0.005) -> Column:
 
 def dms_to_decimal(rationals: Column, ref: Column) -> Column:
     """Degrees, minutes, seconds as three rationals; null on a zero denominator or fewer than three; S and W are negative."""
-    part = lambda k: F.try_divide(F.try_element_at(rationals, F.lit(k))["numerator"].cast("double"), F.try_element_at(rationals, F.lit(k))["denominator"].cast("double"))
-    plain = part(1) + part(2) / 60 + part(3) / 3600
+    part = lambda k: F.try_divide(F.get(rationals, k)["numerator"].cast("double"), F.get(rationals, k)["denominator"].cast("double"))
+    plain = part(0) + part(1) / 60 + part(2) / 3600
     return F.when(F.upper(trimmed(ref)).isin("S", "W"), -plain).otherwise(plain)
 
 
