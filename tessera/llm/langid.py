@@ -99,8 +99,12 @@ def train(documents: DataFrame, folds: int = FOLDS, held: int = HELD, sample: in
     """Languages, and the probabilities (languages, SIZE) of trigrams."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text"))
     known = rows.where("lang is not null and text is not null").where(crc_mod("doc_id", folds) != held)
-    by_lang = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(by_lang)).where(F.col("k") <= sample).groupBy(F.col("doc_id").alias("id")).agg(F.lit(1).alias("one"))
+    # Ranking is left with about 1.5 * sample rows a language: those below a share of the hash that its count tells.
+    ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("place"))
+    sizes = small(written(known.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n")), "sizes"))
+    ids = ids.join(sizes, F.col("lang") == F.col("of")).where(F.col("place") * F.col("n") <= float(1.5 * sample * (1 << 30)))
+    by_lang = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = ids.withColumn("k", F.row_number().over(by_lang)).where(F.col("k") <= sample).groupBy(F.col("doc_id").alias("id")).agg(F.lit(1).alias("one"))
     chosen = small(written(chosen, "sample"))
     texts = known.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "lang")
     counts = texts.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
