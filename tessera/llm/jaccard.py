@@ -230,17 +230,18 @@ def exact(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float
 def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): label is the smallest node of the component.
 
-    Alternating large-star and small-star rounds over tables; each halves the depth of what remains.
+    Alternating large-star and small-star rounds over tables; each halves the depth of what remains. The edges of a
+    hub are many, so the least neighbours (a row a node) are broadcast or the hub's edges salted.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     last = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))  # larger neighbours to the least one
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
+        large = spread_join(both.where("b > a"), low, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))  # larger neighbours to the least one
         large = written(large.where("a <> b").distinct(), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small_ = large.join(low, "a").select("a", "b", "m")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small_ = spread_join(large, low, ["a"], ["b"]).select("a", "b", "m")
         edges = written(small_.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small_.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small")
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last:
@@ -280,8 +281,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
     edges = dealt.mapInArrow(_prune(need), "a long, b long")
     near = written(components(edges), "near")
 
-    sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    inside = near.join(sizes, "label").join(classes, F.col("node") == F.col("cls")).select(F.col("label").alias("g"), "cls", "size", "times", "sig", "one")
+    sizes = written(near.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    inside = spread_join(near, sizes, ["label"], ["node"]).join(classes, F.col("node") == F.col("cls")).select(F.col("label").alias("g"), "cls", "size", "times", "sig", "one")
     inside = written(inside, "inside")
     wanted = inside.select("cls", "one.id", F.col("one.tkey").alias("k"))
     texts = docs.join(wanted, (F.coalesce(docs["doc_id"], F.lit(-(2**63))) == wanted["id"]) & (docs["tkey"] == wanted["k"])).select("cls", "text")
@@ -297,7 +298,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
     out = written(out, "classes_linked")
     rows = rows.select("doc_id", "tkey", "cls")
     ids = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least")).join(out.select("cls", "label"), "cls").groupBy("label").agg(F.min("least").alias("class_id"))
-    out = written(out.join(ids, "label").select("cls", "label", "class_id", "n_links"), "answers")
+    ids = written(ids, "class_ids")
+    out = written(spread_join(out, ids, ["label"], ["cls"]).select("cls", "label", "class_id", "n_links"), "answers")
     alone = rows.where("cls is null").select("doc_id", "tkey", "cls", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return spread_join(rows.where("cls is not null"), out, ["cls"], ["doc_id", "tkey"]).unionByName(alone)
 

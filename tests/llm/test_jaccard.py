@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import jaccard
+from tessera.llm import common, jaccard
 
 
 def sets(text):
@@ -84,7 +84,9 @@ def test_posterior_drops_far_pairs_and_keeps_near_ones():
     assert len(jaccard.survivors(a, b, need, pairs)[0]) == 2000 and len(jaccard.survivors(a, far, need, pairs)[0]) == 0
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.range(200).selectExpr("id a", "id + 1 b").union(spark.sql("select 900L, 901L"))
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_components_of_a_long_path(spark, monkeypatch, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    edges = spark.range(200).selectExpr("id a", "id + 1 b").union(spark.sql("select 900L, 901L")).union(spark.range(1001, 1100).selectExpr("1000L", "id"))
     got = {r.node: r.label for r in jaccard.components(edges).collect()}
-    assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
+    assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900, **{i: 1000 for i in range(1000, 1100)}}
