@@ -121,7 +121,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """A row for each document: doc_id, tkey, n_words, runs of hit words (start, end) and the items that occur."""
     spark = documents.sparkSession
     docs = keyed(documents).drop("_row")
-    items = benchmark.select("item_id", "text")
+    items = benchmark.select("item_id", "text").distinct()  # copies of an item would all land in one block
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     schema = f"doc_id long, tkey long, n_words long, runs {RUNS}, items array<string>"
     found = []
