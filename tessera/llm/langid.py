@@ -10,8 +10,8 @@ Bounds: the distributions are fitted on at most `sample` labelled documents of e
 their id) and have 2**16 entries each. Every text is read whole.
 
 Edge cases: a null text, or one without a letter, is `und` with score 0, as is every text if nothing can be learned; ties go
-to the language first in code points; null langs are not learned from; repeated rows are predicted alike; an empty
-table gives an empty result; extra columns are ignored.
+to the language first in code points; null langs are not learned from; of rows with one doc_id (or none) and lang only the
+least text is learned from; repeated rows are predicted alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,12 +101,13 @@ def train(documents: DataFrame, folds: int = FOLDS, held: int = HELD, sample: in
     known = rows.where("lang is not null and text is not null").where(crc_mod("doc_id", folds) != held)
     # Ranking is left with about 1.5 * sample rows a language: those below a share of the hash that its count tells.
     ids = known.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("place"))
-    sizes = small(written(known.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n")), "sizes"))
+    sizes = small(written(known.groupBy(F.col("lang").alias("of")).agg((F.approx_count_distinct("doc_id") + 1).alias("n")), "sizes"))
     ids = ids.join(sizes, F.col("lang") == F.col("of")).where(F.col("place") * F.col("n") <= float(1.5 * sample * (1 << 30)))
+    ids = ids.select("doc_id", "lang", "place").distinct()  # an id may hold a large share of the rows
     by_lang = Window.partitionBy("lang").orderBy("place", "doc_id")
     chosen = ids.withColumn("k", F.row_number().over(by_lang)).where(F.col("k") <= sample).groupBy(F.col("doc_id").alias("id")).agg(F.lit(1).alias("one"))
     chosen = small(written(chosen, "sample"))
-    texts = known.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "lang")
+    texts = known.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
     counts = texts.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts.lang.unique())
     p = np.zeros((len(langs), SIZE))
