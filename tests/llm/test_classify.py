@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import langid, toxicity
 
@@ -31,6 +32,18 @@ def test_language_on_held_out_rows_and_edges(spark):
     assert {r.lang_pred for r in langid.identify(df.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
 
 
+def test_an_id_of_many_rows_is_learned_from_once(spark):
+    rng = random.Random(4)
+    rows = [(1, prose(rng, "xx", 9), "xx") for _ in range(50)] + [(None, prose(rng, "yy", 9), "yy") for _ in range(50)] + [(3, prose(rng, "xx", 9), "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    assert langid.train(df, sample=10)[0] == ["xx", "yy"]
+    once = df.where("doc_id is not null").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).unionByName(df.where("doc_id is null").groupBy("doc_id", "lang").agg(F.min("text").alias("text")))
+    assert np.array_equal(langid.train(df, sample=10)[1], langid.train(once, sample=10)[1])
+    chosen, sizes = toxicity.labelled(df, spark.createDataFrame([(1, 0), (1, 1), (3, 0)], "doc_id long, toxic int"))
+    texts = sorted((min(t for i, t, _ in rows if i == k), k == 1) for k in (1, 3) if zlib.crc32(str(k).encode()) % 4 != 2)
+    assert sorted((r.text, r.toxic == 1) for r in chosen.collect()) == texts and sum(sizes.values()) == len(texts)
+
+
 def test_expectation_maximisation_climbs():
     rng = np.random.default_rng(0)
     p = rng.dirichlet(np.ones(50), 3)
