@@ -114,9 +114,12 @@ def detect_format(content: Column) -> Column:
     at = lambda k, n: F.substring(content, k + 1, n)
     is_ = lambda k, b: at(k, len(b)) == F.lit(b)
     ftyp = is_(4, b"ftyp")
-    size = F.least(F.conv(F.hex(at(0, 4)), 16, 10).cast("int"), F.lit(4096))
-    brands = F.transform(F.sequence(F.lit(16), F.greatest(size - 4, F.lit(16)), F.lit(4)), lambda k: F.substring(content, k + 1, 4))
-    has = lambda names: F.exists(F.concat(F.array(at(8, 4)), brands), lambda b: b.isin(*(F.lit(n) for n in names)))
+    number = lambda k, n: F.conv(F.hex(at(k, n)), 16, 10).try_cast("bigint")
+    whole = F.octet_length(content).cast("bigint")
+    # Size 1: 64 bits after the kind; size 0: to the end.
+    size = F.least(F.coalesce(F.when(number(0, 4) == 1, number(8, 8)).when(number(0, 4) > 0, number(0, 4)), whole), whole)
+    places = F.sequence(F.lit(16).cast("int"), F.greatest(size - 4, F.lit(16)).cast("int"), F.lit(4))
+    has = lambda names: at(8, 4).isin(*(F.lit(n) for n in names)) | F.exists(places, lambda k: (k + 4 <= size) & F.substring(content, k + 1, 4).isin(*(F.lit(n) for n in names)))
     major = lambda names: at(8, 4).isin(*(F.lit(n) for n in names))
     # Signatures and brands.
     return (
@@ -127,10 +130,10 @@ def detect_format(content: Column) -> Column:
         .when(is_(0, b"fLaC"), "flac")
         .when(is_(0, b"FORM") & (is_(8, b"AIFF") | is_(8, b"AIFC")), "aiff")
         .when(is_(0, b"OggS"), "ogg")
-        .when(ftyp & has([b"heic", b"heix", b"hevc", b"hevx", b"mif1", b"msf1"]), "heif")
+        .when(ftyp & has([b"heic", b"heix", b"hevc", b"hevx", b"heim", b"heis", b"mif1", b"msf1", b"avif", b"avis"]), "heif")
         .when(ftyp & major([b"qt  "]), "mov")
-        .when(ftyp & major([b"M4A ", b"M4B "]), "m4a")
-        .when(ftyp & has([b"isom", b"iso2", b"mp41", b"mp42", b"avc1"]), "mp4")
+        .when(ftyp & major([b"M4A ", b"M4B ", b"M4P "]), "m4a")
+        .when(ftyp & has([b"isom", b"iso2", b"mp41", b"mp42", b"avc1", b"M4V ", b"3gp4", b"3gp5", b"3g2a"]), "mp4")
     )
 
 
