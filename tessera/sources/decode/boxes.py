@@ -22,6 +22,8 @@ UDTA_DJI = {"©fpt": "FlightPitchDegree", "©fyw": "FlightYawDegree", "©frl": "
 UDTA_DJI_TEXT = {"©mdl": "Model", "©csn": "SerialNumber"}
 UDTA_KEYS = {*UDTA_DJI, *UDTA_DJI_TEXT, "©xyz"}
 BRANDS = (b"heic", b"heix", b"hevc", b"hevx", b"heim", b"heis", b"mif1", b"msf1", b"avif", b"avis", b"isom", b"iso2", b"mp41", b"mp42", b"avc1", b"qt  ", b"M4A ", b"M4B ", b"M4P ")
+# What items and boxes of a content type hold.
+MIMES = {b"application/rdf+xml": "xmp", b"application/xml": "xmp", b"text/xml": "xmp", b"application/x-iptc": "iptc"}
 
 
 def iso_time(seconds: int | None) -> str | None:
@@ -158,6 +160,12 @@ class Media:
                 self.payloads.append(("icc", a + 4, d[4:], "colr_icc"))
         elif kind == b"Exif":
             self.payloads.append(("exif", a, d, "exif"))
+        elif kind == b"mime":
+            mime, nul, body = d.partition(b"\0")
+            if body and MIMES.get(mime) == "xmp":
+                self.payloads.append(("xmp", e - len(body), body, "mime"))
+            else:
+                self.out.issue("isobmff_mime_payload_unsupported", "content type is not read", a, "info")
         elif kind == b"xml ":
             self.payloads.append(("xmp", a + 4, d[4:], "xml"))
         elif kind == b"uuid" and b"<x:xmpmeta" in d[16:4096]:
@@ -214,9 +222,10 @@ class Media:
         """Payloads of items, by joining items to their places."""
         out = self.out
         for item, (kind, mime) in self.items.items():
-            if kind not in (b"Exif", b"mime") or item not in self.places:
+            if kind not in (b"Exif", b"iptc", b"mime") or item not in self.places:
                 continue
-            if kind == b"mime" and mime != b"application/rdf+xml":
+            what = {b"Exif": "exif", b"iptc": "iptc"}.get(kind) or MIMES.get(mime)
+            if not what:
                 out.issue("isobmff_mime_payload_unsupported", "content type is not read", None, "info")
                 continue
             method, extents, a = self.places[item]
@@ -234,7 +243,7 @@ class Media:
             if stop > (self.idat[1] if method else len(self.b)):
                 out.issue("isobmff_item_payload_out_of_bounds", "item lies outside the data", a)
                 continue
-            self.payloads.append(("exif" if kind == b"Exif" else "xmp", start, self.b[start:stop], "item"))
+            self.payloads.append((what, start, self.b[start:stop], "item"))
 
 
 def _exif(out: Out, d: bytes, at: int) -> None:
@@ -311,6 +320,9 @@ def isobmff(b: bytes, fmt: str, deep: bool) -> Out:
     for kind, at, d, path in m.payloads:
         if kind == "icc":
             _named(out, "icc", N.icc(out, d, at, path))
+    for kind, at, d, path in m.payloads:
+        if kind == "iptc":
+            _named(out, "iptc", N.iptc(out, d, at, "heif_iptc"))
     for where, name, a, e, d in m.atoms:
         if where == "ilst" and name in QUICKTIME_TEXT and (found := _data_box(d)) and (s := (utf8(found[1]) or "").strip("\0")):
             out.entry("quicktime", name, QUICKTIME_TEXT[name], text(s), "ilst", a, e)

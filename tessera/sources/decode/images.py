@@ -154,7 +154,7 @@ def png(b: bytes, _: str, deep: bool) -> Out:
         if t and t[0] == b"XML:com.adobe.xmp":
             N.xmp(out, t[1], s)
     for s, t, _n in texts:
-        if t and t[0].lower() in (b"raw profile type iptc", b"iptc", b"raw profile type 8bim"):
+        if t and (t[0] == b"IPTC-NAA" or t[0].lower() in (b"raw profile type iptc", b"iptc", b"raw profile type 8bim")):
             body = _raw_profile(t[1])
             if body is None:
                 out.issue("png_iptc_payload_invalid", "IPTC profile is not hexadecimal", s, context="iptc")

@@ -1,6 +1,8 @@
 import struct
+import zlib
 
 from tessera.sources import assets, samples
+from tessera.sources.decode import decode
 
 
 def decode_all(spark, files):
@@ -31,3 +33,45 @@ def test_brands_of_each_family(spark):
     # The reference detects these as MP4, but its parser does not list them among supported brands.
     odd = {k for k, r in got.items() if any(i.code == "isobmff_unrecognized_brand" for i in r.issues)}
     assert odd == {k for k in files if k[:3] == "mp4" and k != "mp4 large"}
+
+
+IIM = samples.iptc((105, "Head"), (80, "Kai"), (25, "sea"))
+TAGS = ["Headline", "Author", "Keywords"]
+
+
+def heif_items(*items, boxes=b""):
+    """Items (kind, content type or None, bytes) in mdat before meta."""
+    ftyp, at = samples.box(b"ftyp", b"heic\0\0\0\0mif1"), 24 + 4
+    infe, iloc = b"", b""
+    for k, (kind, mime, d) in enumerate(items, 1):
+        infe += samples.box(b"infe", b"\2\0\0\0", struct.pack(">HH", k, 0), kind + b"name\0" + (mime + b"\0" if mime else b""))
+        iloc += struct.pack(">HHHII", k, 0, 1, at, len(d))
+        at += len(d)
+    meta = samples.box(b"meta", b"\0" * 4, samples.box(b"iinf", struct.pack(">IH", 0, len(items)), infe), samples.box(b"iloc", struct.pack(">IBBH", 0, 0x44, 0, len(items)), iloc), boxes)
+    return ftyp + samples.box(b"mdat", *(d for *_, d in items)) + meta
+
+
+def tags(row, namespace):
+    return [e["tag_name"] for e in row["entries"] if e["namespace"] == namespace]
+
+
+def test_iptc_items():
+    for item in ((b"iptc", None, IIM), (b"mime", b"application/x-iptc", IIM)):
+        row = decode(heif_items(item), "heif")
+        assert tags(row, "iptc") == TAGS and row["entries"][0]["provenance"]["path"] == "heif_iptc" and not row["issues"]
+    assert [i["code"] for i in decode(heif_items((b"iptc", None, b"none")), "heif")["issues"]] == ["iptc_decode_empty", "no_metadata_entries"]
+
+
+def test_xmp_items_and_boxes():
+    doc = samples.xmp(model="Two")
+    for mime in (b"application/rdf+xml", b"application/xml", b"text/xml"):
+        assert tags(decode(heif_items((b"mime", mime, doc)), "heif"), "xmp") == ["Model", "Author"]
+        row = decode(heif_items(boxes=samples.box(b"mime", mime + b"\0" + doc)), "heif")
+        assert tags(row, "xmp") == ["Model", "Author"] and not row["issues"]
+    for d in (b"text/plain\0" + doc, b"text/xml\0", b"text/xml", b""):
+        assert decode(heif_items(boxes=samples.box(b"mime", d)), "heif")["issues"][0]["code"] == "isobmff_mime_payload_unsupported"
+
+
+def test_png_iptc_naa():
+    for chunk in ((b"tEXt", b"IPTC-NAA\0" + IIM), (b"zTXt", b"IPTC-NAA\0\0" + zlib.compress(IIM)), (b"iTXt", b"IPTC-NAA\0\0\0\0\0" + IIM)):
+        assert tags(decode(samples.png(chunk), "png"), "iptc") == TAGS
