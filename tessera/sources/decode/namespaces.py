@@ -165,18 +165,29 @@ def xmp(out: Out, payload: bytes, start: int) -> int:
 RTMD = [
     ("MetadataDate", "NonRealTimeMeta", "lastUpdate"), ("CreateDate", "CreationDate", "value"), ("Make", "Device", "manufacturer"), ("Model", "Device", "modelName"), ("CaptureFps", "VideoFrame", "captureFps"), ("FormatFps", "VideoFrame", "formatFps"),
     ("VideoCodecProfile", "VideoFrame", "videoCodec"), ("ImageWidth", "VideoLayout", "pixel"), ("ImageHeight", "VideoLayout", "numOfVerticalLine"), ("AspectRatio", "VideoLayout", "aspectRatio"), ("AudioChannels", "AudioFormat", "numOfChannel"),
+    ("AudioCodecName", "AudioRecPort", "audioCodec"), ("RecordingMode", "RecordingMode", "type"),
 ]
+# Instants among them, and what their notes name.
+RTMD_STAMPS = {"MetadataDate": "lastUpdate", "CreateDate": "CreationDate"}
 
 
 def rtmd(out: Out, payload: bytes, start: int) -> int:
     doc, before = utf8(payload), len(out.entries)
     if doc is None or "<NonRealTimeMeta" not in doc:
         return 0
+    where = ("non_real_time_meta", start, start + len(payload))
     for tag, name, attribute in RTMD:
         m = re.search(rf'<{name}\b[^>]*?\b{attribute}="([^"]*)"', doc)
         if m and m[1].strip():
             whole = tag in ("ImageWidth", "ImageHeight", "AudioChannels") and m[1].strip().isdigit()
-            out.entry("rtmd", tag, tag, integer(int(m[1])) if whole else text(unescape(m[1])), "rtmd", start, start + len(payload), [f"decoded from NonRealTimeMeta {name} {attribute}"])
+            value = integer(int(m[1])) if whole else stamp(unescape(m[1])) if tag in RTMD_STAMPS else text(unescape(m[1]))
+            out.entry("rtmd", tag, tag, value, *where, [f"decoded from NonRealTimeMeta {RTMD_STAMPS.get(tag, f'{name} {attribute}')}"])
+    for item in re.findall(r"<Item\b[^>]*", doc):
+        m = re.search(r'\bvalue="([^"]*)"', item)
+        if re.search(r'\bname="CaptureGammaEquation"', item):
+            if m and m[1].strip():
+                out.entry("rtmd", "CaptureGammaEquation", "CaptureGammaEquation", text(unescape(m[1])), *where, ["decoded from NonRealTimeMeta AcquisitionRecord item"])
+            break
     return len(out.entries) - before
 
 

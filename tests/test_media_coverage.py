@@ -75,3 +75,33 @@ def test_xmp_items_and_boxes():
 def test_png_iptc_naa():
     for chunk in ((b"tEXt", b"IPTC-NAA\0" + IIM), (b"zTXt", b"IPTC-NAA\0\0" + zlib.compress(IIM)), (b"iTXt", b"IPTC-NAA\0\0\0\0\0" + IIM)):
         assert tags(decode(samples.png(chunk), "png"), "iptc") == TAGS
+
+
+RTMD = b"""<?xml version="1.0" encoding="UTF-8"?>
+<NonRealTimeMeta lastUpdate="2026-04-16T06:34:34-08:00">
+  <CreationDate value="2026-04-16T06:34:34-08:00"/>
+  <VideoFormat>
+    <VideoFrame videoCodec="AVC_3840_2160_HP@L51" captureFps="23.98p" formatFps="23.98p"/>
+    <VideoLayout pixel="3840" numOfVerticalLine="2160" aspectRatio="16:9"/>
+  </VideoFormat>
+  <AudioFormat numOfChannel="2"><AudioRecPort port="DIRECT" audioCodec="LPCM16"/></AudioFormat>
+  <Device manufacturer="Sony" modelName="ZV-E10"/>
+  <RecordingMode type="normal"/>
+  <AcquisitionRecord><Group name="CameraUnitMetadataSet"><Item name="Other" value="x"/><Item value="rec709-xvycc" name="CaptureGammaEquation"/></Group></AcquisitionRecord>
+</NonRealTimeMeta>"""
+#: The entries of the reference's real-camera snapshot: tag, kind, value, end of the note.
+SNAPSHOT = [
+    ("MetadataDate", "timestamp", "2026-04-16T06:34:34-08:00", "lastUpdate"), ("CreateDate", "timestamp", "2026-04-16T06:34:34-08:00", "CreationDate"),
+    ("Make", "string", "Sony", "Device manufacturer"), ("Model", "string", "ZV-E10", "Device modelName"),
+    ("CaptureFps", "string", "23.98p", "VideoFrame captureFps"), ("FormatFps", "string", "23.98p", "VideoFrame formatFps"), ("VideoCodecProfile", "string", "AVC_3840_2160_HP@L51", "VideoFrame videoCodec"),
+    ("ImageWidth", "integer", 3840, "VideoLayout pixel"), ("ImageHeight", "integer", 2160, "VideoLayout numOfVerticalLine"), ("AspectRatio", "string", "16:9", "VideoLayout aspectRatio"),
+    ("AudioChannels", "integer", 2, "AudioFormat numOfChannel"), ("AudioCodecName", "string", "LPCM16", "AudioRecPort audioCodec"), ("RecordingMode", "string", "normal", "RecordingMode type"),
+    ("CaptureGammaEquation", "string", "rec709-xvycc", "AcquisitionRecord item"),
+]
+
+
+def test_rtmd_equals_snapshot():
+    row = decode(samples.movie() + samples.box(b"meta", b"\0" * 4, samples.box(b"xml ", b"\0" * 4 + RTMD)), "mp4")
+    got = [e for e in row["entries"] if e["namespace"] == "rtmd"]
+    assert [(e["tag_name"], e["value"]["kind"], e["value"].get("s", e["value"].get("i")), *e["notes"]) for e in got] == [(*x[:3], "decoded from NonRealTimeMeta " + x[3]) for x in SNAPSHOT]
+    assert {e["provenance"]["path"] for e in got} == {"non_real_time_meta"} and not tags(row, "xmp")
