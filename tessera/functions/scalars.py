@@ -9,6 +9,10 @@ EPSILON = 2.220446049250313e-16
 #: Seconds between 1904-01-01 and 1970-01-01.
 QT_EPOCH = 2082844800
 NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan|INF|NaN|Infinity)\s*$"
+# Brands of formats; those of M4A count as major brands only.
+HEIF_BRANDS = [b"heic", b"heix", b"hevc", b"hevx", b"heim", b"heis", b"mif1", b"msf1", b"avif", b"avis"]
+M4A_BRANDS = [b"M4A ", b"M4B ", b"M4P "]
+MP4_BRANDS = [b"isom", b"iso2", b"mp41", b"mp42", b"avc1", b"M4V ", b"3gp4", b"3gp5", b"3g2a"]
 
 
 def trimmed(s: Column) -> Column:
@@ -130,10 +134,10 @@ def detect_format(content: Column) -> Column:
         .when(is_(0, b"fLaC"), "flac")
         .when(is_(0, b"FORM") & (is_(8, b"AIFF") | is_(8, b"AIFC")), "aiff")
         .when(is_(0, b"OggS"), "ogg")
-        .when(ftyp & has([b"heic", b"heix", b"hevc", b"hevx", b"heim", b"heis", b"mif1", b"msf1", b"avif", b"avis"]), "heif")
+        .when(ftyp & has(HEIF_BRANDS), "heif")
         .when(ftyp & major([b"qt  "]), "mov")
-        .when(ftyp & major([b"M4A ", b"M4B ", b"M4P "]), "m4a")
-        .when(ftyp & has([b"isom", b"iso2", b"mp41", b"mp42", b"avc1", b"M4V ", b"3gp4", b"3gp5", b"3g2a"]), "mp4")
+        .when(ftyp & major(M4A_BRANDS), "m4a")
+        .when(ftyp & has(MP4_BRANDS), "mp4")
     )
 
 

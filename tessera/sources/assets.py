@@ -15,10 +15,12 @@ MAX_BYTES = 1 << 30
 
 
 def read_assets(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """asset_id, path, size_bytes, content of the files under path; larger files than max_bytes come without content."""
+    """asset_id, path, size_bytes, content of the files under path; larger files than max_bytes come without content and are decoded by path."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     df = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
-    return _assets(df.select("path", F.col("length").alias("size_bytes"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content")))
+    small = df.where(F.col("length") <= max_bytes).select("path", F.col("length").alias("size_bytes"), "content")
+    large = df.where(F.col("length") > max_bytes).select("path", F.col("length").alias("size_bytes"), F.lit(None).cast("binary").alias("content"))
+    return _assets(small.unionByName(large))
 
 
 def stream_assets(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -41,23 +43,28 @@ def _assets(df: DataFrame) -> DataFrame:
 def decode_assets(assets: DataFrame, probe: bool = False, formats=None) -> DataFrame:
     """asset_id, path, size_bytes, detected_format, status, error_message, container, nodes, entries, issues: one row an asset.
 
-    The format is told in the JVM, so a filter on formats keeps other contents out of Python; contents end here.
+    The format is told in the JVM, so a filter on formats keeps other contents out of Python; contents end here. Rows with a
+    size but no content are large files, which are read by path in ranges.
     """
     ddl = "asset_id bigint, path string, size_bytes bigint, detected_format string, " + DECODED
     schema = to_arrow_schema(StructType.fromDDL(ddl))
 
     def run(batches):
-        from .decode import decode
+        from .decode import decode, decode_file
 
         for batch in batches:
             ids, paths, sizes, formats_ = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
             for k, content in enumerate(batch.column(3)):
-                row = {"asset_id": ids[k], "path": paths[k], "size_bytes": sizes[k]} | decode(content.as_py(), formats_[k], probe)
+                by_path = not content.is_valid and sizes[k] is not None
+                found = decode_file(paths[k], probe, formats) if by_path else decode(content.as_py(), formats_[k], probe)
+                if found is None:
+                    continue
+                row = {"asset_id": ids[k], "path": paths[k], "size_bytes": sizes[k]} | found
                 yield pa.RecordBatch.from_pylist([row], schema=schema)
 
     rows = assets.withColumn("detected_format", detect_format(F.col("content")))
     if formats:
-        rows = rows.where(F.col("detected_format").isin(*formats))
+        rows = rows.where(F.col("detected_format").isin(*formats) | (F.col("content").isNull() & F.col("size_bytes").isNotNull()))
     return rows.select("asset_id", "path", "size_bytes", "content", "detected_format").mapInArrow(run, ddl)
 
 

@@ -84,7 +84,7 @@ class Media:
         self.out.issue(f"isobmff_{name}_truncated", f"{name} box is too short", at)
 
     def box(self, kind: bytes, name: str, a: int, e: int, label: str) -> None:
-        d = self.b[a:e] if kind not in (b"mdat",) else b""
+        d = self.b[a:e] if kind not in (b"mdat", b"free", b"skip", b"wide") else b""
         track = self.tracks[-1] if self.tracks and "/trak/" in f"/{label}/" else None
         if kind == b"ftyp":
             if not any(x in BRANDS for x in (d[:4], *(d[i : i + 4] for i in range(8, len(d), 4)))):

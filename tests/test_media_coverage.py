@@ -105,3 +105,23 @@ def test_rtmd_equals_snapshot():
     got = [e for e in row["entries"] if e["namespace"] == "rtmd"]
     assert [(e["tag_name"], e["value"]["kind"], e["value"].get("s", e["value"].get("i")), *e["notes"]) for e in got] == [(*x[:3], "decoded from NonRealTimeMeta " + x[3]) for x in SNAPSHOT]
     assert {e["provenance"]["path"] for e in got} == {"non_real_time_meta"} and not tags(row, "xmp")
+
+
+def test_large_files_are_read_by_path(spark, tmp_path):
+    for k, v in samples.all_samples().items():
+        (tmp_path / k.replace(".", " large.")).write_bytes(v)
+    whole, ranged = ({r.path: r for r in assets.decode_assets(assets.read_assets(spark, str(tmp_path), max_bytes=n)).collect()} for n in (1 << 30, 10))
+    assert len(whole) == len(samples.all_samples()) and whole == ranged
+    only = assets.decode_assets(assets.read_assets(spark, str(tmp_path), max_bytes=10), formats=["mp4"]).collect()
+    assert [r.path.rsplit("/")[-1] for r in only] == ["clip large.mp4"]
+    ftyp, moov = samples.movie()[:20], samples.movie()[20:]
+    with open(tmp_path / "huge.mov", "wb") as f:  # sparse, beyond what a binary column holds
+        f.write(ftyp + struct.pack(">I4sQ", 1, b"mdat", 3 << 30))
+        f.seek(20 + (3 << 30))
+        f.write(moov)
+    row = assets.decode_assets(assets.read_assets(spark, str(tmp_path), "huge.mov")).first()
+    assert row.status == "ok" and row.detected_format == "mp4" and row.size_bytes > 3 << 30
+    assert {e.tag_name for e in row.entries} == {e["tag_name"] for e in decode(samples.movie(), "mp4")["entries"]}
+    (tmp_path / "huge.mov").unlink()
+    gone = spark.createDataFrame([(1, str(tmp_path / "huge.mov"), 5, None)], "asset_id long, path string, size_bytes long, content binary")
+    assert assets.decode_assets(gone).first().status == "io_error"
