@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has at most this many rows.
 BROADCAST_ROWS = 100_000
+#: Rows of one key that one task of a shuffled join may get.
+HOT_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,16 +43,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def spread_join(big: DataFrame, other: DataFrame, keys: list[str], row: list[str], salts: int = 16) -> DataFrame:
+def spread_join(big: DataFrame, other: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
     """Inner join of a table whose keys may be hot with a written one that has few rows a key.
 
-    other is broadcast if it is counted to be small; else it is repeated for each salt, so that a hot key's rows, salted
-    by a hash of the row, go to several tasks.
+    other is broadcast if it is counted to be small. Else the rows of each key that has more than HOT_ROWS of big are
+    salted, by a hash of the columns `row`, to as many tasks as their count asks for, and other repeats that key for
+    each. The list of hot keys is broadcast; it has at most BROADCAST_ROWS rows, as a key must hold that share of big.
     """
     if other.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(other), keys)
-    salted = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(*row), F.lit(salts)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    per = max(HOT_ROWS, big.count() // max(BROADCAST_ROWS, 1))
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per)
+    hot = F.broadcast(written(hot.select(*keys, F.ceil(F.col("_n") / per).cast("int").alias("_salts")), "hot"))
+    salts = F.coalesce("_salts", F.lit(1))
+    left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*row), salts).cast("int")).drop("_salts")
+    right = other.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
 def text_key() -> Column:
@@ -113,13 +121,14 @@ def byte_codes() -> np.ndarray:
 
 
 class Rolling:
-    """Fingerprints of any substrings of a buffer from one prefix sum (polynomial modulo 2**64)."""
+    """Fingerprints of any substrings of a buffer of bytes, or of 64-bit hashes, from one prefix sum (polynomial modulo 2**64)."""
 
     def __init__(self, raw: np.ndarray):
         size = 1 << max(10, int(len(raw)).bit_length())
         up, self.down = powers(size)
         self.sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(byte_codes()[raw] * up[: len(raw)], out=self.sums[1:])
+        codes = byte_codes()[raw] if raw.dtype == np.uint8 else raw
+        np.cumsum(codes * up[: len(raw)], out=self.sums[1:])
 
     def of(self, start, end) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -140,7 +149,7 @@ ALNUM = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_B
 CHUNK = 1 << 20
 
 
-def _words_in(raw: np.ndarray, bounds: np.ndarray, kind: np.ndarray):
+def words_in(raw: np.ndarray, bounds: np.ndarray, kind: np.ndarray):
     """Starts and ends of the words of raw; a word ends at each of bounds."""
     inside = kind[raw]
     first, last = inside.copy(), inside.copy()
@@ -164,7 +173,7 @@ def word_groups(column: pa.Array, kind: np.ndarray = UNSPACED, limit: int = CHUN
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, side="right")) - 1)
         b = min(b, rows)
         part = LOWERED[raw[off[a] : off[b]]]
-        starts, ends = _words_in(part, off[a : b + 1] - off[a], kind)
+        starts, ends = words_in(part, off[a : b + 1] - off[a], kind)
         hashes = np.empty(len(starts), np.uint64)
         heads = np.empty(len(starts) if prefix else 0, np.uint64)
         k = 0

@@ -1,17 +1,19 @@
-"""Removal of every byte that lies in a long string occurring at two or more places of the corpus.
+"""Removal of every long string that occurs at two or more places of the corpus, by bytes or by words.
 
 Method: merging of Burrows-Wheeler transforms by iterative interleave refinement. Candidate contexts are cut
-around winnowed anchors (any string of `length` bytes holds one, at the same offset in each occurrence, so no
+around winnowed anchors (any string of `length` units holds one, at the same offset in each occurrence, so no
 repeat is missed); equal contexts are counted, not repeated. The contexts of an anchor are dealt to shards, each
-shard sorts only its own suffixes into a BWT over symbols of `symbol` bytes, and the merge refines the interleave
-of the shards one symbol per round: after h rounds, blocks are the suffixes that share h symbols, the round in
-which a block boundary first appears is the common prefix there, and after length / symbol rounds the blocks with
-two or more members are the repeated intervals. No suffix is sorted again across shards.
+shard sorts only its own suffixes into a BWT over symbols of `symbol` units, and the merge refines the interleave
+of the shards one symbol per round. The round in which a boundary first appears between two rows is their common
+prefix, and the repeated intervals are the runs of rows whose common prefix is whole after length / symbol rounds.
+No suffix is sorted again across shards.
+
+Units: bytes of the UTF-8 text, or words between white space (A-Z lower-cased, by 64-bit hashes).
 
 Scale: an anchor is a row of about 40 bytes for each 170 bytes of text; only contexts whose anchor occurs in
 two different contexts travel as text. Contexts of a hot anchor are salted to merges of `hot` contexts, whose
-distinct windows meet by fingerprint in packed blocks. Symbols and equal contexts are compared by 64-bit
-fingerprints.
+distinct windows meet by fingerprint in packed blocks, as many as the counted contexts ask for. Symbols and equal
+contexts are compared by 64-bit fingerprints.
 
 Edge cases: a null text is empty (0 bytes, nothing removed); a text shorter than `length` has no windows; repeated
 rows are repeats of each other; a null doc_id is an ordinary row; an empty table gives an empty result; extra
@@ -27,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, keyed, mix, radix_order, same_row, spread_join, text_buffer, written
+from .common import UNSPACED, Rolling, keyed, mix, radix_order, same_row, spread_join, text_buffer, word_groups, words_in, written
 
 LENGTH = 400
 GRAM = 64
 SYMBOL = 100
 PIECE = 1 << 20
 HOT = 2048
+#: Passages by words: a passage of 50 words or more that also occurs elsewhere.
+PASSAGE = {"words": True, "length": 50, "gram": 8, "symbol": 10}
+#: Windows of hot anchors that meet in one group.
+MEET = 1 << 20
 SPAN = "doc_id long, tkey long, s int, n int"
 
 
@@ -47,6 +53,15 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
+def sequences(column, words: bool):
+    """Groups of texts as (first row, their units one after the other, offsets)."""
+    if words:
+        for a, hashes, off, _, _ in word_groups(column, UNSPACED):
+            yield a, hashes, off
+    else:
+        yield 0, *text_buffer(column)
+
+
 def anchors(raw: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of windows with one anchor: (first start, windows, anchor key, context hash). ends: where the pieces of raw end."""
     if len(raw) < length:
@@ -84,18 +99,21 @@ def _pieces(off: np.ndarray, length: int):
         yield group
 
 
-def _anchor_rows(length, gram):
+def _anchor_rows(length, gram, words):
+    def rows(batch, first_row, raw, off):
+        for group in _pieces(off, length):
+            row, a, e = (np.array(x, np.int64) for x in zip(*group))
+            ends = np.cumsum(e - a)
+            first, count, key, ctx = anchors(np.concatenate([raw[x:y] for _, x, y in group]), ends, length, gram)
+            piece = np.searchsorted(ends, first, side="right")
+            s = first - (ends - (e - a))[piece] + a[piece] - off[row[piece]]
+            at = pa.array(row[piece] + first_row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))], ["doc_id", "tkey", "s", "n", "key", "ctx"])
+
     def run(batches):
         for batch in batches:
-            raw, off = text_buffer(batch.column(2))
-            for group in _pieces(off, length):
-                rows, a, e = (np.array(x, np.int64) for x in zip(*group))
-                ends = np.cumsum(e - a)
-                first, count, key, ctx = anchors(np.concatenate([raw[x:y] for _, x, y in group]), ends, length, gram)
-                piece = np.searchsorted(ends, first, side="right")
-                row = pa.array(rows[piece])
-                s = first - (ends - (e - a))[piece] + a[piece] - off[rows[piece]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(s.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))], ["doc_id", "tkey", "s", "n", "key", "ctx"])
+            for part in sequences(batch.column(2), words):
+                yield from rows(batch, *part)
 
     return run
 
@@ -106,10 +124,11 @@ def _anchor_rows(length, gram):
 class Collection:
     """Strings laid out with one slot a position and one for the end; the strings of a collection share an alphabet."""
 
-    def __init__(self, strings: list[bytes], symbol: int):
-        sizes = np.array([len(x) + 1 for x in strings], np.int64)
+    def __init__(self, strings: list[bytes], symbol: int, unit: type = np.uint8):
+        width = np.dtype(unit).itemsize
+        sizes = np.array([len(x) // width + 1 for x in strings], np.int64)
         self.first = np.concatenate([[0], np.cumsum(sizes)])
-        raw = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
+        raw = np.frombuffer(bytes(width).join([*strings, b""]), unit)
         self.owner = np.repeat(np.arange(len(strings)), sizes)
         slot = np.arange(len(raw))
         left = self.first[self.owner + 1] - 1 - slot
@@ -139,8 +158,8 @@ def shard_bwt(c: Collection, a: int, b: int, depth: int) -> tuple[np.ndarray, np
     return order, np.where(c.before[order], c.rank[order - c.symbol], 0)
 
 
-def merge_bwts(c: Collection, cuts: list[int], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge the BWTs of the shards between cuts: slots in merged order, the block of each, common prefixes in symbols.
+def merge_bwts(c: Collection, cuts: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the BWTs of the shards between cuts: slots in merged order, and each one's common prefix with the one before, in symbols.
 
     The interleave z says which shard each merged row comes from. A round reads the BWT symbols along z and deals
     the rows to their symbols' buckets, stably; so blocks that share h symbols become blocks that share h + 1.
@@ -164,19 +183,21 @@ def merge_bwts(c: Collection, cuts: list[int], depth: int) -> tuple[np.ndarray,
         block = np.cumsum(new) - 1
     read = np.empty(len(z), np.int64)
     read[np.argsort(z, kind="stable")] = np.arange(len(z))
-    return np.concatenate(orders)[read], block, lcp
+    return np.concatenate(orders)[read], lcp
 
 
-def repeated(strings: list[bytes], times: np.ndarray, length: int = LENGTH, symbol: int = SYMBOL, shards: int = 4) -> tuple[np.ndarray, Collection]:
+def repeated(strings: list[bytes], times: np.ndarray, length: int = LENGTH, symbol: int = SYMBOL, shards: int = 4, unit: type = np.uint8) -> tuple[np.ndarray, Collection]:
     """For each slot of the strings: does the substring of `length` that starts there occur twice? times: copies of each string."""
-    c = Collection(strings, symbol)
+    c = Collection(strings, symbol, unit)
     per = -(-len(strings) // shards)
     cuts = [int(c.first[i]) for i in range(0, len(strings), per)] + [len(c.owner)]
-    slots, block, _ = merge_bwts(c, cuts, length // symbol)
+    depth = length // symbol
+    slots, lcp = merge_bwts(c, cuts, depth)
+    interval = np.cumsum(lcp < depth) - 1
     enough = c.first[c.owner + 1] - 1 - slots_left(c) >= length
     weight = np.where(enough[slots], times[c.owner[slots]], 0)
     out = np.zeros(len(c.owner), bool)
-    out[slots] = (np.bincount(block, weight)[block] >= 2) & enough[slots]
+    out[slots] = (np.bincount(interval, weight)[interval] >= 2) & enough[slots]
     return out, c
 
 
@@ -193,10 +214,10 @@ OUT = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("s", pa.int32())
 WINDOW = np.dtype([("f", "<u8"), ("d", "<i8"), ("nil", "<i8"), ("t", "<i8"), ("s", "<i8")])
 
 
-def _merge_rows(length, symbol, shards, parts, limit=1 << 20):
+def _merge_rows(length, symbol, shards, parts, unit, limit=1 << 20):
     def merge(rows):
         ctxs = [r[6] for r in rows]
-        flags, c = repeated(ctxs, np.array([r[5] for r in rows]), length, symbol, shards)
+        flags, c = repeated(ctxs, np.array([r[5] for r in rows]), length, symbol, shards, unit)
         flags[c.first[1:] - 1] = False
         start, count = _runs(flags)
         who = c.owner[start]
@@ -260,49 +281,52 @@ def _meet(pdf):
     return pd.DataFrame({"doc_id": pd.array(np.where(x["nil"] == 1, 0, x["d"]), "Int64").copy(), "nil": x["nil"] == 1, "tkey": x["t"], "s": x["s"].astype(np.int32)})
 
 
-def _cut_contexts(length):
+def _cut_contexts(length, words):
     schema = pa.schema([("key", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("tkey", pa.int64()), ("s", pa.int64()), ("times", pa.int64()), ("ctx", pa.binary()), ("salts", pa.int64())])
 
     def run(batches):
         for batch in batches:
+            docs, keys, wants = (batch.column(k).to_pylist() for k in (0, 1, 3))
             out, size = [], 0
-            for doc, key, text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
-                raw = memoryview(text.as_buffer())
-                for w in want:
-                    out.append((w["key"], w["salt"], doc, key, w["s"], w["times"], bytes(raw[w["s"] : w["s"] + w["n"] + length - 1]), w["salts"]))
-                    size += w["n"] + length
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
-                        out, size = [], 0
+            for first_row, raw, off in sequences(batch.column(2), words):
+                for row, at in enumerate(off[:-1].tolist(), first_row):
+                    for w in wants[row]:
+                        ctx = raw[at + w["s"] : at + w["s"] + w["n"] + length - 1].tobytes()
+                        out.append((w["key"], w["salt"], docs[row], keys[row], w["s"], w["times"], ctx, w["salts"]))
+                        size += len(ctx)
+                        if size > 8 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+                            out, size = [], 0
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
 
     return run
 
 
-def repeat_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, symbol: int = SYMBOL, shards: int = 4, hot: int = HOT) -> DataFrame:
-    """Rows (doc_id, tkey, s, n): at n starts from byte s on, the string of `length` bytes also starts elsewhere."""
+def repeat_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, symbol: int = SYMBOL, shards: int = 4, hot: int = HOT, words: bool = False) -> DataFrame:
+    """Rows (doc_id, tkey, s, n): at n starts from unit s on, the string of `length` units also starts elsewhere."""
     if length % symbol or gram > length:
         raise ValueError("length must be a multiple of symbol and at least gram")
     docs = keyed(documents).drop("_row")
-    runs = written(docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, gram), f"{SPAN}, key long, ctx long"), "anchors")
-    classes = runs.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tkey", "s", "n")).alias("one"))
-    shared = classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    classes = written(classes.join(shared, "key", "left").where("times > 1 or kinds > 1"), "classes")
-    copied = classes.where("times > 1").select("key", "ctx")
+    runs = written(docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, gram, words), f"{SPAN}, key long, ctx long"), "anchors")
+    classes = written(runs.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tkey", "s", "n")).alias("one")), "classes")
+    copied = written(classes.where("times > 1").select("key", "ctx"), "copied")
     copies = spread_join(runs, copied, ["key", "ctx"], ["doc_id", "tkey", "s"]).select("doc_id", "tkey", "s", "n")
+    shared = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "shared")
+    crowd = shared.where(F.col("kinds") > hot).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    parts = max(64, -(-crowd * (length - gram + 1) // MEET))
     salts = F.ceil(F.col("kinds") / hot)
     want = (
-        classes.where("kinds > 1")
+        spread_join(classes, shared, ["key"], ["ctx"])
         .select("one.doc_id", "one.tkey", F.struct("key", F.pmod("ctx", salts).alias("salt"), "one.s", "one.n", "times", salts.alias("salts")).alias("w"))
         .groupBy("doc_id", "tkey")
         .agg(F.collect_list("w").alias("want"))
     )
     found = docs.join(want, same_row(docs, want)).select(docs["doc_id"], docs["tkey"], docs["text"], "want")
-    contexts = found.mapInArrow(_cut_contexts(length), "key long, salt long, doc_id long, tkey long, s long, times long, ctx binary, salts long")
-    parts = max(64, 4 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    contexts = found.mapInArrow(_cut_contexts(length, words), "key long, salt long, doc_id long, tkey long, s long, times long, ctx binary, salts long")
     dealt = contexts.repartition("key", "salt").sortWithinPartitions("key", "salt", "doc_id", "tkey", "s")
-    merged = written(dealt.mapInArrow(_merge_rows(length, symbol, shards, parts), f"{SPAN}, part int, packed binary"), "merged")
+    unit = np.uint64 if words else np.uint8
+    merged = written(dealt.mapInArrow(_merge_rows(length, symbol, shards, parts, unit), f"{SPAN}, part int, packed binary"), "merged")
     far = merged.where("part is not null").groupBy("part").applyInPandas(_meet, "doc_id long, nil boolean, tkey long, s int")
     far = far.select(F.when(~F.col("nil"), F.col("doc_id")).alias("doc_id"), "tkey", "s", F.lit(1).alias("n"))
     return copies.unionByName(merged.where("part is null").drop("part", "packed")).unionByName(far)
@@ -352,8 +376,22 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, **how) -> DataFrame
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<start:long,end:long>>")
 
 
-def dedup_text(documents: DataFrame, length: int = LENGTH, **how) -> DataFrame:
-    """documents with the repeated runs cut from text. A cut keeps whole characters: one that lies partly in a run stays."""
+def _whole_characters(raw: bytes, runs):
+    for s, e in runs:
+        while s < e and raw[s] & 0xC0 == 0x80:
+            s += 1
+        while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
+            e -= 1
+        yield s, e
+
+
+def _word_bytes(raw: bytes, runs):
+    starts, ends = words_in(np.frombuffer(raw, np.uint8), np.zeros(0, np.int64), UNSPACED)
+    return [(int(starts[s]), int(ends[e - 1])) for s, e in runs]
+
+
+def dedup_text(documents: DataFrame, length: int = LENGTH, words: bool = False, **how) -> DataFrame:
+    """documents with the repeated runs cut from text, in whole characters (one that lies partly in a run stays) or in whole words."""
 
     @F.pandas_udf("string")
     def cut(text, spans):
@@ -361,19 +399,13 @@ def dedup_text(documents: DataFrame, length: int = LENGTH, **how) -> DataFrame:
         for t, x in zip(text, spans):
             if x is not None and len(x) and t is not None:
                 raw = t.encode()
-                runs = []
-                for s, e in removed_runs(((y["s"], y["n"]) for y in x), length):
-                    while s < e and raw[s] & 0xC0 == 0x80:
-                        s += 1
-                    while e > s and e < len(raw) and raw[e] & 0xC0 == 0x80:
-                        e -= 1
-                    runs.append((s, e))
-                t = kept_bytes(raw, runs).decode()
+                runs = removed_runs(((y["s"], y["n"]) for y in x), length)
+                t = kept_bytes(raw, (_word_bytes if words else _whole_characters)(raw, runs)).decode()
             out.append(t)
         import pandas as pd
 
         return pd.Series(out, dtype=object)
 
-    rows = _with_spans(documents, length, **how)
+    rows = _with_spans(documents, length, words=words, **how)
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
     return rows.select(*(text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in documents.columns))

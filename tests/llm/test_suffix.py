@@ -1,11 +1,12 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tessera.llm import suffix
+from tessera.llm import common, suffix
 
 
 def brute(texts, length):
@@ -23,6 +24,23 @@ def brute(texts, length):
     return out
 
 
+def split(text):
+    return re.findall(r"[^ \t\n\x0b\f\r]+", text)
+
+
+def kept_words(texts, length):
+    """Words of each text outside the strings of `length` words that also start elsewhere."""
+    all_words = [split(t or "") for t in texts]
+    low = [[w.lower() if w.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in x] for x in all_words]
+    seen = Counter(tuple(x[i : i + length]) for x in low for i in range(len(x) - length + 1))
+    for words, x in zip(all_words, low):
+        hit = np.zeros(len(x), bool)
+        for i in range(len(x) - length + 1):
+            if seen[tuple(x[i : i + length])] > 1:
+                hit[i : i + length] = True
+        yield [w for w, h in zip(words, hit) if not h]
+
+
 @pytest.mark.parametrize("symbol,shards", [(1, 3), (4, 2), (5, 5), (20, 1)])
 def test_merged_transforms_equal_direct_count(symbol, shards):
     rng = random.Random(symbol)
@@ -37,7 +55,7 @@ def test_merged_transforms_equal_direct_count(symbol, shards):
 
 def test_common_prefixes_of_a_merge():
     c = suffix.Collection([b"abcabd", b"abcx"], 1)
-    slots, block, lcp = suffix.merge_bwts(c, [0, 7, 11], 4)
+    slots, lcp = suffix.merge_bwts(c, [0, 7, 11], 4)
     raw = b"abcabd\0abcx\0"
     ends = {0: 6, 1: 11}
     suf = [raw[s : ends[int(c.owner[s])]] for s in slots]
@@ -79,3 +97,18 @@ def test_empty_and_text_stage(spark):
     df = spark.createDataFrame([(1, a + "x", 7), (2, "y" + a, 8), (3, None, 9)], "doc_id long, text string, n int")
     out = {r.doc_id: r for r in suffix.dedup_text(df, 40, gram=8, symbol=10).collect()}
     assert (out[1].text, out[2].text, out[3].text) == ("x", "y", None) and out[3].n == 9
+
+
+@pytest.mark.parametrize("hot,rows", [(2048, 100_000), (3, 5)])
+def test_words_against_brute_force(spark, monkeypatch, hot, rows):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(common, "HOT_ROWS", 4)
+    rng = random.Random(9)
+    prose = lambda n: " ".join(rng.choice(["ab", "Cé", "x", "yy", "q."]) + rng.choice("abcdef") for _ in range(n))
+    shared = prose(30)
+    texts = [prose(rng.randint(0, 90)) for _ in range(20)] + [f"{prose(15)}\t{shared}\n {prose(15)}" for _ in range(12)]
+    texts += [" ".join(shared.split()[k:]) + " " + prose(9) for k in range(8)] + [texts[0]] * 3 + [None, "", "z " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in suffix.dedup_text(df, 10, words=True, gram=3, symbol=5, hot=hot).collect()}
+    for k, want in enumerate(kept_words(texts, 10)):
+        assert split(got[k] or "") == want, k
