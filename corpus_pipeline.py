@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as the next one's
 docs. All but the last return the columns of documents.
+
+Nulls, empty and long texts, ties, repeated rows and extra columns: a null, empty or wordless text is no near duplicate, has
+nothing to cut and no benchmark window, so it stays unless the toxicity model rejects empty texts; the mix takes 0 words of
+it. Texts are judged whole at any length. Repeated rows are near duplicates, of which one stays; among equals
+the one with the smallest doc_id. A null doc_id is an ordinary row that comes after others. Extra columns pass through all
+stages but the last, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -23,10 +29,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur elsewhere are cut from the texts, in whole characters; all rows stay, n_chars follows the text."""
+    """Passages of 50 words or more that also occur elsewhere are cut from the texts; all rows stay, n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    return suffix.dedup_text(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return suffix.dedup_text(docs, **suffix.PASSAGE).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
