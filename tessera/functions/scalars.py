@@ -114,7 +114,7 @@ def xml_unescape(s: Column) -> Column:
 
 
 def detect_format(content: Column) -> Column:
-    """Format by leading bytes; null if none fits. DNG is told from TIFF by the decoder."""
+    """Format by leading bytes; null if none fits. DNG is TIFF with a DNG version among the tags of its first directory."""
     at = lambda k, n: F.substring(content, k + 1, n)
     is_ = lambda k, b: at(k, len(b)) == F.lit(b)
     ftyp = is_(4, b"ftyp")
@@ -125,11 +125,18 @@ def detect_format(content: Column) -> Column:
     places = F.sequence(F.lit(16).cast("int"), F.greatest(size - 4, F.lit(16)).cast("int"), F.lit(4))
     has = lambda names: at(8, 4).isin(*(F.lit(n) for n in names)) | F.exists(places, lambda k: (k + 4 <= size) & F.substring(content, k + 1, 4).isin(*(F.lit(n) for n in names)))
     major = lambda names: at(8, 4).isin(*(F.lit(n) for n in names))
+    little = is_(0, b"II*\0")
+    octet = lambda k: F.hex(F.substring(content, k + 1, F.lit(1)))
+    word = lambda k, n: F.conv(F.when(little, F.concat(*(octet(k + i) for i in reversed(range(n))))).otherwise(F.concat(*(octet(k + i) for i in range(n)))), 16, 10).try_cast("bigint")
+    ifd = F.least(word(F.lit(4), 4), whole).cast("int")
+    tags = F.coalesce(word(ifd, 2), F.lit(0)).cast("int")
+    fits = (tags > 0) & (ifd + 2 + 12 * tags <= whole)
+    dng = F.coalesce(F.exists(F.sequence(F.lit(0), F.greatest(F.when(fits, tags).otherwise(1) - 1, F.lit(0))), lambda i: fits & (word(ifd + 2 + 12 * i, 2) == 0xC612)), F.lit(False))
     # Signatures and brands.
     return (
         F.when(is_(0, b"\xff\xd8"), "jpeg")
         .when(is_(0, b"\x89PNG\r\n\x1a\n"), "png")
-        .when(is_(0, b"II*\0") | is_(0, b"MM\0*"), "tiff")
+        .when(little | is_(0, b"MM\0*"), F.when(dng, "dng").otherwise("tiff"))
         .when(is_(0, b"RIFF") & is_(8, b"WEBP"), "webp")
         .when(is_(0, b"fLaC"), "flac")
         .when(is_(0, b"FORM") & (is_(8, b"AIFF") | is_(8, b"AIFC")), "aiff")

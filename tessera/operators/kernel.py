@@ -1,6 +1,8 @@
-"""Relational operators on entries (asset_id, ord, namespace, tag_id, tag_name, value, provenance).
+"""Operators on the entries of an asset.
 
-An asset's entries are few, so what is collected here is bounded by one asset; every shuffle is on asset_id and a rule.
+Each works on one asset's entries as an array column (structs of ord, namespace, tag_id, tag_name, value, provenance, in
+order of ord), inside the asset's row: nothing is joined or shuffled, and what an operator compares is bounded by one
+asset. The functions that take a frame of entries gather each asset's entries (the only shuffle) and apply the same.
 """
 
 from __future__ import annotations
@@ -14,13 +16,39 @@ from ..plans import rules as R
 KEEP = ("namespace", "tag_id", "tag_name", "value", "provenance")
 
 
-def _with(entries: DataFrame) -> DataFrame:
-    """Fill in the columns that a frame of evidence may lack."""
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def in_order(rows: Column) -> Column:
+    return F.array_sort(rows, lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0))
+
+
+def gather(rows: DataFrame, *columns: str, name: str = "es") -> DataFrame:
+    """(asset_id, array of the rows' columns in order of ord)."""
+    return rows.groupBy("asset_id").agg(in_order(F.collect_list(F.struct("ord", *columns))).alias(name))
+
+
+def gathered(entries: DataFrame) -> DataFrame:
+    """(asset_id, es) of a frame of entries; tag_id and provenance may be missing."""
     have = set(entries.columns)
-    for c, kind in (("tag_id", "string"), ("provenance", "string")):
+    for c in ("tag_id", "provenance"):
         if c not in have:
-            entries = entries.withColumn(c, F.lit(None).cast(kind))
-    return entries
+            entries = entries.withColumn(c, F.lit(None).cast("string"))
+    return gather(entries, *KEEP)
+
+
+def spread(assets: DataFrame, items: Column) -> DataFrame:
+    """A row (asset_id, members of the item) for each item."""
+    return assets.select("asset_id", F.explode(items).alias("_x")).select("asset_id", "_x.*")
+
+
+def side(e: Column) -> Column:
+    return F.struct(*(e[k].alias(k) for k in KEEP))
+
+
+# --- reconciliation -----------------------------------------------------------------------------
 
 
 def chooser_accepts(chooser: Column, v: Column) -> Column:
@@ -33,106 +61,159 @@ def chooser_accepts(chooser: Column, v: Column) -> Column:
     )
 
 
-def candidates(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """(asset_id, rule_ord, field, chooser, winner, cands): per rule the entry preferred by namespace, else the first, and all entries in order."""
-    e = _with(entries)
-    rank = F.coalesce(F.nullif(F.array_position("prefs", F.col("namespace")), F.lit(0)), F.lit(999))
-    entry = F.struct("ord", *KEEP)
-    found = e.join(rules, e["tag_name"] == rules["rule_tag"]).select("asset_id", "rule_ord", "field", "chooser", entry.alias("e"), F.struct(rank.alias("rank"), "ord").alias("at"))
-    return found.groupBy("asset_id", "rule_ord", "field", "chooser").agg(F.min_by("e", "at").alias("winner"), F.array_sort(F.collect_list(F.struct("e.ord", "e")), lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)).alias("cands"))
+def reconciled(es: Column, rules=R.RULES) -> Column:
+    """Fields of an asset: (rule_ord, field, chooser, winner, n_candidates, differing, conflict_note, notes).
 
+    A rule's winner is the entry preferred by namespace, else the first; one of the wrong kind suppresses the field.
+    """
 
-def reconcile(entries: DataFrame, rules: DataFrame) -> DataFrame:
-    """Fields: a winner of the wrong kind suppresses field and conflict. Adds n_candidates, differing (entries), notes."""
-    c = candidates(entries, rules).where(chooser_accepts(F.col("chooser"), F.col("winner.value")))
-    plain = F.transform("cands", lambda x: x["e"])
-    differing = F.filter(plain, lambda x: (x["ord"] != F.col("winner.ord")) & ~S.typed_equal(x["value"], F.col("winner.value")))
-    c = c.withColumn("differing", differing).withColumn("n_candidates", F.size("cands"))
-    note = F.concat(F.lit("selected "), F.col("winner.tag_name"), F.lit(" from "), F.col("winner.namespace"), F.lit(" over "), (F.col("n_candidates") - 1).cast("string"), F.lit(" competing candidate(s)"))
-    icc = F.startswith("field", F.lit("color.")) & (F.col("winner.namespace") == "icc")
-    notes = F.array_compact(F.array(F.when(F.size("differing") > 0, note), F.when(icc, "selected bounded ICC metadata as authoritative color-profile source")))
-    return c.withColumn("conflict_note", F.when(F.size("differing") > 0, note)).withColumn("notes", notes).drop("cands")
+    def rank(r, e):
+        return F.coalesce(F.nullif(F.array_position(r["prefs"], e["namespace"]), F.lit(0)), F.lit(999))
 
+    def judged(x):
+        best = F.array_min(F.transform(x["cands"], lambda e, i: F.struct(rank(x["r"], e).alias("rank"), i.alias("i"))))
+        return let(F.get(x["cands"], best["i"]), lambda w: F.struct(x["r"].alias("r"), w.alias("w"), F.size(x["cands"]).alias("n"), F.filter(x["cands"], lambda e: (e["ord"] != w["ord"]) & ~S.typed_equal(e["value"], w["value"])).alias("differing")))
 
-def policy_conflicts(fields: DataFrame) -> DataFrame:
+    def field(x):
+        r, w = x["r"], x["w"]
+        note = F.concat(F.lit("selected "), w["tag_name"], F.lit(" from "), w["namespace"], F.lit(" over "), (x["n"] - 1).cast("string"), F.lit(" competing candidate(s)"))
+        note = F.when(F.size(x["differing"]) > 0, note)
+        icc = F.startswith(r["field"], F.lit("color.")) & (w["namespace"] == "icc")
+        notes = F.array_compact(F.array(note, F.when(icc, "selected bounded ICC metadata as authoritative color-profile source")))
+        return F.struct(r["rule_ord"].alias("rule_ord"), r["field"].alias("field"), r["chooser"].alias("chooser"), w.alias("winner"), x["n"].alias("n_candidates"), x["differing"].alias("differing"), note.alias("conflict_note"), notes.alias("notes"))
+
+    found = F.transform(R.rule_column(rules), lambda r: F.struct(r.alias("r"), F.filter(es, lambda e: F.array_contains(r["tags"], e["tag_name"])).alias("cands")))
+    found = F.transform(F.filter(found, lambda x: F.size(x["cands"]) > 0), judged)
+    return F.transform(F.filter(found, lambda x: chooser_accepts(x["r"]["chooser"], x["w"]["value"])), field)
+
+
+def reconcile(entries: DataFrame, rules=R.RULES) -> DataFrame:
+    return spread(gathered(entries), reconciled(F.col("es"), rules))
+
+
+# --- conflicts ----------------------------------------------------------------------------------
+
+
+def _conflict(source: int, rule: Column, n: Column, field: Column, message: Column, sources: Column) -> Column:
+    ord_ = F.struct(F.lit(source).alias("source"), rule.alias("rule"), n.alias("n"))
+    return F.struct(ord_.alias("ord"), field.alias("field"), message.alias("message"), sources.alias("sources"))
+
+
+def policy(fields: Column) -> Column:
     """Conflicts of reconciled fields: the winner first, then what differs from it."""
-    rows = fields.where(F.size("differing") > 0)
-    side = lambda x: F.struct(*(x[k].alias(k) for k in KEEP))
-    return rows.select("asset_id", F.struct(F.lit(1).alias("source"), F.col("rule_ord").alias("rule"), F.lit(0).alias("n")).alias("ord"), "field", F.col("conflict_note").alias("message"), F.transform(F.concat(F.array("winner"), "differing"), side).alias("sources"))
+    rows = F.filter(fields, lambda f: F.size(f["differing"]) > 0)
+    return F.transform(rows, lambda f: _conflict(1, f["rule_ord"], F.lit(0), f["field"], f["conflict_note"], F.transform(F.concat(F.array(f["winner"]), f["differing"]), side)))
 
 
-def _conflict(rows: DataFrame, family: int, message: Column) -> DataFrame:
-    side = lambda x: F.struct(*(F.col(x)[k].alias(k) for k in KEEP))
-    return rows.select("asset_id", F.struct(F.lit(0).alias("source"), F.col("group_ord").alias("rule"), F.lit(family).alias("n")).alias("ord"), "field", message.alias("message"), F.array(side("a"), side("b")).alias("sources"))
+def _members(es: Column, g: Column, keep) -> Column:
+    return F.filter(es, lambda e: F.array_contains(g["keys"], F.concat(e["namespace"], F.lit("\t"), e["tag_name"])) & keep(e))
 
 
-def members(entries: DataFrame, groups: DataFrame) -> DataFrame:
-    e = _with(entries)
-    return e.join(groups, (e["namespace"] == groups["group_ns"]) & (e["tag_name"] == groups["group_tag"])).select("asset_id", "group_ord", "field", F.struct("ord", *KEEP).alias("e"))
+def _said(e: Column, value) -> Column:
+    return F.concat(e["namespace"], F.lit(":"), e["tag_name"], F.lit("="), value(e["value"]))
 
 
-def _said(x: str, value) -> Column:
-    return F.concat(F.col(x)["namespace"], F.lit(":"), F.col(x)["tag_name"], F.lit("="), value(F.col(x)["value"]))
+def _each_group(groups, family: int, find, message) -> Column:
+    """find(g): struct (a, b) of the entries that a group's conflict is about, or null."""
+    found = F.transform(R.group_column(groups), lambda g: F.struct(g.alias("g"), find(g).alias("p")))
+    found = F.filter(found, lambda x: x["p"].isNotNull())
+    return F.transform(found, lambda x: _conflict(0, F.lit(family), x["g"]["group_ord"], x["g"]["field"], message(x["p"]["a"], x["p"]["b"]), F.array(side(x["p"]["a"]), side(x["p"]["b"]))))
 
 
-def disagreements(entries: DataFrame, groups: DataFrame, folded=R.FOLDED) -> DataFrame:
+def disagreeing(es: Column, groups=R.SEMANTIC, folded=R.FOLDED) -> Column:
     """Groups whose texts have two or more canonical values: the first entries of the two smallest."""
-    rows = members(entries, groups).withColumn("text", S.string_value(F.col("e.value"))).where("text is not null")
-    canon = F.when(F.col("field").isin(*folded), F.lower(S.trimmed(F.col("text")))).otherwise(S.trimmed(F.col("text"))) if folded else S.trimmed(F.col("text"))
-    first = rows.groupBy("asset_id", "group_ord", "field", canon.alias("canon")).agg(F.min_by("e", "e.ord").alias("e"))
-    by = first.groupBy("asset_id", "group_ord", "field").agg(F.min(F.col("canon")).alias("c0"), F.min_by("e", "canon").alias("a"), F.collect_list(F.struct("canon", "e")).alias("all")).where(F.size("all") > 1)
-    others = F.filter("all", lambda x: x["canon"] > F.col("c0"))
-    second = F.aggregate(others, F.element_at(others, 1), lambda m, x: F.when(x["canon"] < m["canon"], x).otherwise(m))
-    by = by.withColumn("b", second["e"])
-    return _conflict(by, 0, F.concat(_said("a", S.string_value), F.lit(" vs "), _said("b", S.string_value)))
 
+    def find(g):
+        def canon(e):
+            t = S.trimmed(S.string_value(e["value"]))
+            return F.when(F.array_contains(F.array(*map(F.lit, folded)), g["field"]), F.lower(t)).otherwise(t) if folded else t
+
+        rows = F.transform(_members(es, g, lambda e: S.string_value(e["value"]).isNotNull()), lambda e: F.struct(canon(e).alias("c"), e.alias("e")))
+
+        def two(x):
+            texts = F.transform(x, lambda r: r["c"])
+            least = let(F.array_min(texts), lambda c0: F.struct(c0.alias("c0"), F.array_min(F.filter(texts, lambda c: c > c0)).alias("c1")))
+            first = lambda text: F.get(F.filter(x, lambda r: r["c"] == text), F.lit(0))["e"]
+            return let(least, lambda k: F.when(k["c1"].isNotNull(), F.struct(first(k["c0"]).alias("a"), first(k["c1"]).alias("b"))))
 
-def first_pairs(rows: DataFrame, keys: list[str], differ) -> DataFrame:
-    """The first pair i < j (by e.ord) of each group for which differ(a, b); rows has e and what differ reads, in struct x."""
-    a, b = rows.select(*keys, F.col("x").alias("xa"), F.col("e").alias("a")), rows.select(*keys, F.col("x").alias("xb"), F.col("e").alias("b"))
-    pairs = a.join(b, keys).where((F.col("a.ord") < F.col("b.ord")) & differ(F.col("xa"), F.col("xb")))
-    return pairs.groupBy(*keys).agg(F.min_by(F.struct("a", "b", "xa", "xb"), F.struct("a.ord", F.col("b.ord").alias("ord2"))).alias("p")).select(*keys, "p.a", "p.b", "p.xa", "p.xb")
+        return let(rows, two)
 
+    return _each_group(groups, 0, find, lambda a, b: F.concat(_said(a, S.string_value), F.lit(" vs "), _said(b, S.string_value)))
 
-def offset_mismatches(entries: DataFrame, groups: DataFrame) -> DataFrame:
+
+def pairs(rows: Column, differ) -> Column:
+    """Pairs (a, b) of rows, a before b, for which differ(a, b), in order."""
+    return F.flatten(F.transform(rows, lambda a, i: F.transform(F.filter(rows, lambda b, j: (j > i) & differ(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+
+
+def _first_pair(rows: Column, differ) -> Column:
+    first = let(rows, lambda x: F.get(pairs(x, differ), F.lit(0)))
+    return F.when(first.isNotNull(), F.struct(first["a"]["e"].alias("a"), first["b"]["e"].alias("b")))
+
+
+def offset_differing(es: Column, groups=R.SEMANTIC[:1]) -> Column:
     """Equal wall clocks with different offsets, or with one only: the first pair of an asset."""
-    rows = members(entries, groups).withColumn("text", S.string_value(F.col("e.value")))
-    rows = rows.withColumn("x", F.struct(S.wall_clock(F.col("text")).alias("wall"), S.offset_minutes(F.col("text")).alias("off"))).where("x.wall is not null")
-    found = first_pairs(rows, ["asset_id", "group_ord", "field"], lambda a, b: (a["wall"] == b["wall"]) & ~a["off"].eqNullSafe(b["off"]))
-    return _conflict(found, 1, F.concat(F.lit("timezone offset disagreement: "), _said("a", S.string_value), F.lit(" vs "), _said("b", S.string_value)))
 
+    def find(g):
+        text = lambda e: S.string_value(e["value"])
+        rows = F.transform(_members(es, g, lambda e: S.wall_clock(text(e)).isNotNull()), lambda e: F.struct(S.wall_clock(text(e)).alias("wall"), S.offset_minutes(text(e)).alias("off"), e.alias("e")))
+        return _first_pair(rows, lambda a, b: (a["wall"] == b["wall"]) & ~a["off"].eqNullSafe(b["off"]))
+
+    return _each_group(groups, 1, find, lambda a, b: F.concat(F.lit("timezone offset disagreement: "), _said(a, S.string_value), F.lit(" vs "), _said(b, S.string_value)))
 
-def numeric_mismatches(entries: DataFrame, groups: DataFrame, tolerance: float = R.TOLERANCE) -> DataFrame:
+
+def numbers_differing(es: Column, groups=R.NUMERIC, tolerance: float = R.TOLERANCE) -> Column:
     """Numbers that differ by more than tolerance of the larger: the first pair of each group."""
-    rows = members(entries, groups).withColumn("x", F.struct(S.numeric_value(F.col("e.value")).alias("v"))).where("x.v is not null")
-    found = first_pairs(rows, ["asset_id", "group_ord", "field"], lambda a, b: S.relative_mismatch(a["v"], b["v"], tolerance))
+
+    def find(g):
+        rows = F.transform(_members(es, g, lambda e: S.numeric_value(e["value"]).isNotNull()), lambda e: F.struct(S.numeric_value(e["value"]).alias("v"), e.alias("e")))
+        return _first_pair(rows, lambda a, b: S.relative_mismatch(a["v"], b["v"], tolerance))
+
     number = lambda v: F.regexp_replace(S.numeric_value(v).cast("string"), r"\.0$", "")
-    return _conflict(found, 2, F.concat(_said("a", number), F.lit(" vs "), _said("b", number)))
+    return _each_group(groups, 2, find, lambda a, b: F.concat(_said(a, number), F.lit(" vs "), _said(b, number)))
 
 
-def dedupe(conflicts: DataFrame) -> DataFrame:
+def deduped(conflicts: Column) -> Column:
     """One conflict for each field and set of sources: the first, or the first that names a selection; in first-seen place."""
-    mark = F.array_sort(F.transform("sources", lambda s: F.struct(s["namespace"], s["tag_id"])))
-    rows = conflicts.withColumn("mark", mark).withColumn("c", F.struct("message", "sources"))
-    best = F.struct((~F.contains("message", F.lit("selected"))).alias("plain"), "ord")
-    return rows.groupBy("asset_id", "field", "mark").agg(F.min_by("c", best).alias("c"), F.min("ord").alias("ord")).select("asset_id", "ord", "field", "c.message", "c.sources")
+    mark = lambda c: F.array_sort(F.transform(c["sources"], lambda s: F.struct(s["namespace"], s["tag_id"])))
+    rows = F.transform(conflicts, lambda c, i: F.struct(i.alias("i"), F.struct(c["field"], mark(c)).alias("key"), c.alias("c")))
+
+    def once(rows):
+        same = lambda x, y: x["key"].eqNullSafe(y["key"])
+        firsts = F.filter(rows, lambda x: ~F.exists(rows, lambda y: (y["i"] < x["i"]) & same(x, y)))
+        chosen = lambda x: F.coalesce(F.get(F.filter(rows, lambda y: same(x, y) & F.contains(y["c"]["message"], F.lit("selected"))), F.lit(0)), x)["c"]
+        return F.transform(firsts, lambda x: let(chosen(x), lambda c: F.struct(x["c"]["ord"].alias("ord"), c["field"].alias("field"), c["message"].alias("message"), c["sources"].alias("sources"))))
+
+    return let(rows, once)
+
+
+def report(es: Column, fields: Column) -> Column:
+    """Validation, then policy, deduplicated."""
+    return deduped(F.concat(disagreeing(es), offset_differing(es), numbers_differing(es), policy(fields)))
+
+
+def disagreements(entries: DataFrame, groups=R.SEMANTIC, folded=R.FOLDED) -> DataFrame:
+    return spread(gathered(entries), disagreeing(F.col("es"), groups, folded))
+
+
+def offset_mismatches(entries: DataFrame, groups=R.SEMANTIC[:1]) -> DataFrame:
+    return spread(gathered(entries), offset_differing(F.col("es"), groups))
+
+
+def dedupe(conflicts: DataFrame) -> DataFrame:
+    return spread(gather(conflicts, "field", "message", "sources", name="cs"), deduped(F.col("cs")))
+
+
+# --- others -------------------------------------------------------------------------------------
 
 
-def report_conflicts(entries: DataFrame, fields: DataFrame) -> DataFrame:
-    """Validation, then policy, deduplicated; ord orders them within an asset."""
-    spark = entries.sparkSession
-    semantic = R.group_table(spark, R.SEMANTIC)
-    checks = disagreements(entries, semantic).unionByName(offset_mismatches(entries, R.group_table(spark, R.SEMANTIC[:1])))
-    checks = checks.unionByName(numeric_mismatches(entries, R.group_table(spark, R.NUMERIC)))
-    family = F.struct(F.col("ord.source").alias("source"), F.col("ord.n").alias("rule"), F.col("ord.rule").alias("n"))
-    return dedupe(checks.withColumn("ord", family).unionByName(policy_conflicts(fields)))
+def first_of(es: Column, *tags: str) -> Column:
+    """The first entry with one of the tags; null without one."""
+    return F.get(F.filter(es, lambda e: e["tag_name"].isin(*tags)), F.lit(0))
 
 
 def first_by_tag(entries: DataFrame, tags: dict[str, tuple[str, ...]]) -> DataFrame:
-    """For each name, the first entry with one of its tags, as a column; null without one. One grouped pass."""
-    e = _with(entries)
-    entry = F.struct("ord", *KEEP)
-    return e.groupBy("asset_id").agg(*(F.min_by(F.when(F.col("tag_name").isin(*t), entry), F.when(F.col("tag_name").isin(*t), F.col("ord"))).alias(k) for k, t in tags.items()))
+    return gathered(entries).select("asset_id", *(first_of(F.col("es"), *t).alias(k) for k, t in tags.items()))
 
 
 def empty_assets(assets: DataFrame, entries: DataFrame) -> DataFrame:

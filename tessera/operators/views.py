@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..plans import rules as R
 from ..schemas import VALUE
-from ..sources.assets import entries_of
 from . import kernel as K
 
 VIEWS = ("full", "raw", "interpreted", "normalized", "report")
@@ -23,54 +22,72 @@ def _value(kind: str, **parts: Column) -> Column:
     return F.struct(F.lit(kind).alias("kind"), *(parts.get(n, F.lit(None)).alias(n) for n in names)).cast(VALUE)
 
 
-def normalize(entries: DataFrame) -> DataFrame:
-    """(asset_id, place, field, value, confidence, sources, notes): reconciled fields, enriched times, dimensions, location, keywords."""
-    spark = entries.sparkSession
-    rec = K.reconcile(entries, R.rule_table(spark))
-    w = F.col("winner.value")
-    value = F.when(F.col("chooser") == "timestamp", _value("timestamp", s=S.normalize_timestamp(w["s"]))).when(F.col("chooser") == "float_like", _value("float", d=S.numeric_value(w))).otherwise(w)
-    base = rec.select("asset_id", F.col("rule_ord").alias("place"), "field", value.alias("value"), F.lit(0.95).cast("float").alias("confidence"), F.array("winner.provenance").alias("sources"), "notes")
-
-    tags = {f"t{i}{j}": (t,) for i, s in enumerate(STAMPS) for j, t in enumerate(s[1:])}
-    tags |= {"w": ("ImageWidth", "ExifImageWidth"), "h": ("ImageHeight", "ExifImageHeight"), "lat": ("GPSLatitude",), "lon": ("GPSLongitude",), "latr": ("GPSLatitudeRef",), "lonr": ("GPSLongitudeRef",)}
-    first = K.first_by_tag(entries, tags)
-    said = lambda c: S.string_value(F.col(c)["value"])
-    times = F.array(
-        *(
-            F.struct(
-                F.lit(f).alias("field"),
-                F.when(said(f"t{i}0").isNotNull(), S.compose_timestamp(said(f"t{i}0"), said(f"t{i}1"), said(f"t{i}2"))).alias("s"),
-                F.concat(F.lit(f"enriched from EXIF {b}"), F.when(said(f"t{i}1").isNotNull(), f", {sub}").otherwise(""), F.when(said(f"t{i}2").isNotNull(), f", {off}").otherwise("")).alias("note"),
-                (said(f"t{i}1").isNotNull() | said(f"t{i}2").isNotNull()).alias("noted"),
-            )
-            for i, (f, b, sub, off) in enumerate(STAMPS)
-        )
-    )
-    rich = first.select("asset_id", F.explode(times).alias("t")).select("asset_id", "t.*").where("s is not null")
-    base = base.join(rich, ["asset_id", "field"], "left")
-    base = base.select("asset_id", "place", "field", F.when(F.col("s").isNotNull(), _value("timestamp", s=F.col("s"))).otherwise(F.col("value")).alias("value"), "confidence", "sources", F.when(F.col("s").isNotNull() & F.col("noted"), F.concat("notes", F.array("note"))).otherwise(F.col("notes")).alias("notes"))
-
-    one = lambda place, field, v, confidence, sources: F.struct(F.lit(place).alias("place"), F.lit(field).alias("field"), v.alias("value"), F.lit(confidence).cast("float").alias("confidence"), sources.alias("sources"), F.array().cast("array<string>").alias("notes"))
-    both = (F.col("w.value.kind") == "integer") & (F.col("h.value.kind") == "integer")
-    sides = [one(100 + i, f"dimensions.{n}", F.col(f"{c}.value"), 0.95, F.array(F.col(f"{c}.provenance"))) for i, (n, c) in enumerate((("width", "w"), ("height", "h")))]
-    v = lambda c: F.col(f"{c}.value")
-    dms = [S.dms_to_decimal(v(c)["rl"], v(f"{c}r")["s"]) for c in ("lat", "lon")]
-    text = [S.parse_double(F.when(v(c)["kind"] == "string", v(c)["s"])) for c in ("lat", "lon")]
-    plain = [F.when(v(c)["kind"] == "float", v(c)["d"]) for c in ("lat", "lon")]
-    pair = lambda p: F.when(p[0].isNotNull() & p[1].isNotNull(), F.struct(p[0].alias("latitude"), p[1].alias("longitude")))
-    place = F.coalesce(pair(dms), pair(text), pair(plain))
-    location = one(200, "location", _value("coordinates", c=place), 0.9, F.array("lat.provenance", "lon.provenance"))
-    more = first.select("asset_id", F.explode(F.array_compact(F.array(*(F.when(both, s) for s in sides), F.when(place.isNotNull(), location)))).alias("f")).select("asset_id", "f.*")
-    more = more.join(base.select("asset_id", "field"), ["asset_id", "field"], "left_anti").select("asset_id", "place", "field", "value", "confidence", "sources", "notes")
-
-    words = entries.where((F.col("tag_name") == "Keywords") & (F.col("value.kind") == "string")).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("value.s").alias("s")))).alias("k"), F.min_by("provenance", "ord").alias("p"))
-    joined = F.array_join(F.transform("k", lambda x: x["s"]), ", ")
-    keywords = words.select("asset_id", F.lit(300).alias("place"), F.lit("keywords").alias("field"), _value("string", s=joined).alias("value"), F.lit(0.9).cast("float").alias("confidence"), F.array("p").alias("sources"), F.array(F.lit("derived from repeated Keywords metadata")).alias("notes"))
-    return base.unionByName(more).unionByName(keywords)
-
-
-def conflicts(entries: DataFrame) -> DataFrame:
-    return K.report_conflicts(entries, K.reconcile(entries, R.rule_table(entries.sparkSession)))
+def _field(place: Column, field: Column, value: Column, confidence: float, sources: Column, notes: Column) -> Column:
+    return F.struct(place.alias("place"), field.alias("field"), value.alias("value"), F.lit(confidence).cast("float").alias("confidence"), sources.alias("sources"), notes.cast("array<string>").alias("notes"))
+
+
+def _times(es: Column) -> Column:
+    """Times composed from a base, subseconds and an offset: (field, s, note)."""
+
+    def whole(field, base, sub, off):
+        def made(x):
+            note = F.concat(F.lit(f"enriched from EXIF {base}"), F.when(x["sub"].isNotNull(), f", {sub}").otherwise(""), F.when(x["off"].isNotNull(), f", {off}").otherwise(""))
+            note = F.when(x["sub"].isNotNull() | x["off"].isNotNull(), note)
+            return F.when(x["base"].isNotNull(), F.struct(F.lit(field).alias("field"), S.compose_timestamp(x["base"], x["sub"], x["off"]).alias("s"), note.alias("note")))
+
+        said = (S.string_value(K.first_of(es, tag)["value"]).alias(name) for tag, name in ((base, "base"), (sub, "sub"), (off, "off")))
+        return K.let(F.struct(*said), made)
+
+    return F.filter(F.array(*(whole(*s) for s in STAMPS)), lambda t: t["s"].isNotNull())
+
+
+def normalized(es: Column, fields: Column) -> Column:
+    """(place, field, value, confidence, sources, notes): reconciled fields, enriched times, dimensions, location, keywords."""
+
+    def plain(f):
+        w = f["winner"]["value"]
+        return F.when(f["chooser"] == "timestamp", _value("timestamp", s=S.normalize_timestamp(w["s"]))).when(f["chooser"] == "float_like", _value("float", d=S.numeric_value(w))).otherwise(w)
+
+    def enriched(f, times):
+        def of(t):
+            value = F.when(t.isNotNull(), _value("timestamp", s=t["s"])).otherwise(plain(f))
+            notes = F.when(t["note"].isNotNull(), F.concat(f["notes"], F.array(t["note"]))).otherwise(f["notes"])
+            return _field(f["rule_ord"], f["field"], value, 0.95, F.array(f["winner"]["provenance"]), notes)
+
+        return K.let(F.get(F.filter(times, lambda t: t["field"] == f["field"]), F.lit(0)), of)
+
+    base = K.let(_times(es), lambda times: F.transform(fields, lambda f: enriched(f, times)))
+    tags = {"w": ("ImageWidth", "ExifImageWidth"), "h": ("ImageHeight", "ExifImageHeight"), "lat": ("GPSLatitude",), "lon": ("GPSLongitude",), "latr": ("GPSLatitudeRef",), "lonr": ("GPSLongitudeRef",)}
+    none = F.array().cast("array<string>")
+
+    def derived(x):
+        v = lambda c: x[c]["value"]
+        both = (v("w")["kind"] == "integer") & (v("h")["kind"] == "integer")
+        sides = [F.when(both, _field(F.lit(100 + i), F.lit(f"dimensions.{n}"), v(c), 0.95, F.array(x[c]["provenance"]), none)) for i, (n, c) in enumerate((("width", "w"), ("height", "h")))]
+        dms = [S.dms_to_decimal(v(c)["rl"], v(f"{c}r")["s"]) for c in ("lat", "lon")]
+        text = [S.parse_double(F.when(v(c)["kind"] == "string", v(c)["s"])) for c in ("lat", "lon")]
+        number = [F.when(v(c)["kind"] == "float", v(c)["d"]) for c in ("lat", "lon")]
+        pair = lambda p: F.when(p[0].isNotNull() & p[1].isNotNull(), F.struct(p[0].alias("latitude"), p[1].alias("longitude")))
+        location = lambda at: F.when(at.isNotNull(), _field(F.lit(200), F.lit("location"), _value("coordinates", c=at), 0.9, F.array(x["lat"]["provenance"], x["lon"]["provenance"]), none))
+        return F.array(*sides, K.let(F.coalesce(pair(dms), pair(text), pair(number)), location))
+
+    more = K.let(F.struct(*(K.first_of(es, *t).alias(k) for k, t in tags.items())), derived)
+    words = F.filter(es, lambda e: (e["tag_name"] == "Keywords") & (e["value"]["kind"] == "string"))
+    joined = lambda w: F.array_join(F.transform(w, lambda e: e["value"]["s"]), ", ")
+    keywords = K.let(words, lambda w: F.when(F.size(w) > 0, _field(F.lit(300), F.lit("keywords"), _value("string", s=joined(w)), 0.9, F.array(F.get(w, F.lit(0))["provenance"]), F.array(F.lit("derived from repeated Keywords metadata")))))
+    fresh = lambda have: F.concat(have, F.filter(F.array_compact(more), lambda x: ~F.exists(have, lambda h: h["field"] == x["field"])), F.array_compact(F.array(keywords)))
+    return K.let(base, fresh)
+
+
+def normalize(entries: DataFrame, rules=R.RULES) -> DataFrame:
+    """The normalised fields of a frame of entries, a row each."""
+    rows = K.gathered(entries).withColumn("fields", K.reconciled(F.col("es"), rules))
+    return K.spread(rows, normalized(F.col("es"), F.col("fields")))
+
+
+def conflicts(entries: DataFrame, rules=R.RULES) -> DataFrame:
+    rows = K.gathered(entries).withColumn("fields", K.reconciled(F.col("es"), rules))
+    return K.spread(rows, K.report(F.col("es"), F.col("fields")))
 
 
 def tagged(v: Column) -> Column:
@@ -94,25 +111,24 @@ def _entry_json(e: Column, *more: str) -> Column:
     return F.struct(*(e[k].alias(k) for k in ("namespace", "tag_id", "tag_name")), F.parse_json(tagged(e["value"])).alias("value"), _source(e["provenance"]).alias("provenance"), *extra)
 
 
-def analysis(decoded: DataFrame, view: str = "full") -> DataFrame:
-    """asset_id, path, detected_format, status, error_message, raw, interpreted, normalized, report and schema_version of each asset, by view."""
+def analysis(decoded: DataFrame, view: str = "full", rules=R.RULES) -> DataFrame:
+    """asset_id, path, detected_format, status, error_message, raw, interpreted, normalized, report and schema_version of each asset, by view.
+
+    All within the asset's row: an asset is decoded once, and nothing is shuffled.
+    """
     if view not in VIEWS:
         raise ValueError(f"unknown view {view}")
-    e = entries_of(decoded)
-    ordered = lambda name, *cols: F.array_sort(F.collect_list(F.struct(*cols)), lambda a, b: F.when(a[cols[0]] < b[cols[0]], -1).when(a[cols[0]] > b[cols[0]], 1).otherwise(0)).alias(name)
-    c = conflicts(e).groupBy(F.col("asset_id").alias("c_id")).agg(ordered("conflicts", "ord", "field", "message", "sources"))
-    out = decoded.join(c, F.col("asset_id") == F.col("c_id"), "left").drop("c_id")
-    empty = F.array().cast(c.schema["conflicts"].dataType)
-    cols = [F.struct(F.col("issues"), F.coalesce("conflicts", empty).alias("conflicts")).alias("report")]
+    es, fields = F.col("_es"), F.col("_fields")
+    rows = decoded.withColumn("_es", F.transform("entries", lambda e: F.struct(e["ord"].alias("ord"), *(e[k].alias(k) for k in K.KEEP))))
+    rows = rows.withColumn("_fields", K.reconciled(es, rules))
+    cols = [F.struct(F.col("issues"), K.report(es, fields).alias("conflicts")).alias("report")]
     if view in ("full", "normalized"):
-        n = normalize(e).groupBy(F.col("asset_id").alias("n_id")).agg(ordered("fields", "place", "field", "value", "confidence", "sources", "notes"))
-        out = out.join(n, F.col("asset_id") == F.col("n_id"), "left").drop("n_id")
-        cols.append(F.struct(F.coalesce("fields", F.array().cast(n.schema["fields"].dataType)).alias("fields")).alias("normalized"))
+        cols.append(F.struct(normalized(es, fields).alias("fields")).alias("normalized"))
     if view in ("full", "raw"):
         cols.append(F.struct(F.col("nodes").alias("containers"), F.col("entries").alias("metadata")).alias("raw"))
     if view in ("full", "interpreted"):
         cols.append(F.struct(F.col("entries").alias("metadata")).alias("interpreted"))
-    return out.select("asset_id", "path", "size_bytes", "detected_format", "container", "status", "error_message", F.lit(SCHEMA_VERSION).alias("schema_version"), *cols)
+    return rows.select("asset_id", "path", "size_bytes", "detected_format", "container", "status", "error_message", F.lit(SCHEMA_VERSION).alias("schema_version"), *cols)
 
 
 def to_json(analysed: DataFrame, pretty: bool = False) -> DataFrame:
@@ -149,4 +165,4 @@ def capabilities(decoded: DataFrame) -> DataFrame:
     return rows.distinct()
 
 
-__all__ = ["analysis", "capabilities", "conflicts", "normalize", "probe", "tagged", "to_json"]
+__all__ = ["analysis", "capabilities", "conflicts", "normalize", "normalized", "probe", "tagged", "to_json"]

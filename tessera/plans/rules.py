@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Namespaces preferred, in order; without one of them the first entry wins.
@@ -69,12 +69,12 @@ FOLDED = ("device.make", "device.model")
 TOLERANCE = 0.005
 
 
-def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    """A row for each rule and tag name; its size is that of the rules, so it is broadcast."""
-    rows = [(k, field, chooser, tag, list(prefs)) for k, (field, chooser, tags, prefs) in enumerate(rules) for tag in tags]
-    return F.broadcast(spark.createDataFrame(rows, "rule_ord int, field string, chooser string, rule_tag string, prefs array<string>"))
+def rule_column(rules=RULES) -> Column:
+    """The rules as one array column: (rule_ord, field, chooser, tags, prefs)."""
+    texts = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    return F.array(*(F.struct(F.lit(k).alias("rule_ord"), F.lit(field).alias("field"), F.lit(chooser).alias("chooser"), texts(tags).alias("tags"), texts(prefs).alias("prefs")) for k, (field, chooser, tags, prefs) in enumerate(rules)))
 
 
-def group_table(spark: SparkSession, groups) -> DataFrame:
-    rows = [(k, field, ns, tag) for k, (field, members) in enumerate(groups) for ns, tag in members]
-    return F.broadcast(spark.createDataFrame(rows, "group_ord int, field string, group_ns string, group_tag string"))
+def group_column(groups) -> Column:
+    """Groups as one array column: (group_ord, field, keys), a key being namespace, tab, tag name."""
+    return F.array(*(F.struct(F.lit(k).alias("group_ord"), F.lit(field).alias("field"), F.array(*(F.lit(f"{ns}\t{tag}") for ns, tag in members)).alias("keys")) for k, (field, members) in enumerate(groups)))

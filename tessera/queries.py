@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import kernel as K
+from .operators import views as V
 from .plans import rules as R
-from .schemas import VALUE
+from .schemas import ENTRY, ISSUE, NODE, VALUE
 
 QUERIES, ORACLES = {}, {}
 
@@ -47,13 +48,13 @@ DAYS = """WITH d AS (SELECT CAST(user_id AS VARCHAR) || '|' || strftime(ts, '%Y-
 """
 
 
-def rule(spark, prefs, chooser="any"):
-    return R.rule_table(spark, [("value", chooser, ["Event"], prefs)])
+def rule(prefs, chooser="any"):
+    return [("value", chooser, ["Event"], prefs)]
 
 
 def _winner(spark, sf, prefs):
-    w = K.candidates(days(spark, sf), rule(spark, prefs))
-    return w.select("asset_id", F.col("winner.ord").alias("winner_ord"), F.col("winner.namespace").alias("winner_namespace"), F.size("cands").cast("bigint").alias("n_candidates"))
+    w = K.reconcile(days(spark, sf), rule(prefs))
+    return w.select("asset_id", F.col("winner.ord").alias("winner_ord"), F.col("winner.namespace").alias("winner_namespace"), F.col("n_candidates").cast("bigint").alias("n_candidates"))
 
 
 def _winner_sql(rank, where=""):
@@ -88,13 +89,13 @@ p AS (SELECT a.asset_id, a.ord winner_ord, a.ns, a.k, count(*) - 1 competing, su
 
 @query(DIFF + "SELECT asset_id, winner_ord, CAST(competing AS BIGINT) competing, CAST(n_differing AS BIGINT) n_differing, n_differing > 0 has_conflict FROM p")
 def material_difference(spark, sf):
-    f = K.reconcile(days(spark, sf), rule(spark, ["purchase"]))
+    f = K.reconcile(days(spark, sf), rule(["purchase"]))
     return f.select("asset_id", F.col("winner.ord").alias("winner_ord"), (F.col("n_candidates") - 1).cast("bigint").alias("competing"), F.size("differing").cast("bigint").alias("n_differing"), (F.size("differing") > 0).alias("has_conflict"))
 
 
 @query(DIFF + "SELECT asset_id, winner_ord, k AS value, CASE WHEN n_differing > 0 THEN 'selected Event from ' || ns || ' over ' || competing || ' competing candidate(s)' END AS note FROM p WHERE k % 2 = 0")
 def kind_mismatch_suppression(spark, sf):
-    f = K.reconcile(days(spark, sf), rule(spark, ["purchase"], "integer"))
+    f = K.reconcile(days(spark, sf), rule(["purchase"], "integer"))
     return f.select("asset_id", F.col("winner.ord").alias("winner_ord"), F.col("winner.value.i").alias("value"), F.col("conflict_note").alias("note"))
 
 
@@ -118,14 +119,14 @@ SELECT id asset_id, CASE WHEN lower(trim(a)) < lower(trim(b)) THEN 'x:Text=' ||
 def cross_source_disagreement(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("id"), S.find_text(F.col("html"), "lang").alias("v"))
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("v")).join(pages.select("id"), "id", "left_semi")
-    return K.disagreements(_two_sources(spark, sf, docs, pages), R.group_table(spark, PAIR), folded=("device.text",)).select("asset_id", "message")
+    return K.disagreements(_two_sources(spark, sf, docs, pages), PAIR, folded=("device.text",)).select("asset_id", "message")
 
 
 @query("SELECT count(*) n_assets, CAST(coalesce(sum(CASE WHEN trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) <> trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) THEN 1 ELSE 0 END), 0) AS BIGINT) n_conflicts FROM pages")
 def cross_source_agreement(spark, sf):
     pages = table(spark, sf, "pages")
     one, two = (pages.select(F.col("page_id").alias("id"), S.find_text(F.col("html"), n).alias("v")) for n in ("title", "h1"))
-    found = K.disagreements(_two_sources(spark, sf, one, two), R.group_table(spark, PAIR))
+    found = K.disagreements(_two_sources(spark, sf, one, two), PAIR)
     return pages.agg(F.count(F.lit(1)).alias("n_assets")).crossJoin(found.agg(F.count(F.lit(1)).alias("n_conflicts")))  # one row each
 
 
@@ -144,18 +145,22 @@ p AS (SELECT a.asset_id, a.ord a_ord, b.ord b_ord, a.v a_value, b.v b_value FROM
 """
 
 
+def _pairs(spark, sf) -> DataFrame:
+    """For each order, the pairs of lines whose numbers differ."""
+    rows = F.transform("es", lambda e: F.struct(e["ord"].alias("ord"), S.numeric_value(e["value"]).alias("v")))
+    return K.gathered(lines(spark, sf)).select("asset_id", K.pairs(rows, lambda a, b: S.relative_mismatch(a["v"], b["v"])).alias("p"))
+
+
 @query(LINES + "SELECT asset_id, count(*) n_pairs FROM p GROUP BY asset_id")
 def numeric_precision_mismatch(spark, sf):
-    x = lines(spark, sf).select("asset_id", "ord", S.numeric_value(F.col("value")).alias("v"))
-    both = x.alias("a").join(x.alias("b"), "asset_id").where((F.col("a.ord") < F.col("b.ord")) & S.relative_mismatch(F.col("a.v"), F.col("b.v")))
-    return both.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    found = _pairs(spark, sf).select("asset_id", F.size("p").cast("bigint").alias("n_pairs"))
+    return found.where("n_pairs > 0")
 
 
 @query(LINES + "SELECT asset_id, a_ord, b_ord, a_value, b_value FROM (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY a_ord, b_ord) rn FROM p) WHERE rn = 1")
 def numeric_pair_first(spark, sf):
-    x = lines(spark, sf).select("asset_id", F.struct("ord", "value").alias("e"), F.struct(S.numeric_value(F.col("value")).alias("v")).alias("x"))
-    found = K.first_pairs(x, ["asset_id"], lambda a, b: S.relative_mismatch(a["v"], b["v"]))
-    return found.select("asset_id", F.col("a.ord").cast("bigint").alias("a_ord"), F.col("b.ord").cast("bigint").alias("b_ord"), F.col("xa.v").alias("a_value"), F.col("xb.v").alias("b_value"))
+    first = _pairs(spark, sf).select("asset_id", F.get("p", F.lit(0)).alias("p")).where("p is not null")
+    return first.select("asset_id", F.col("p.a.ord").cast("bigint").alias("a_ord"), F.col("p.b.ord").cast("bigint").alias("b_ord"), F.col("p.a.v").alias("a_value"), F.col("p.b.v").alias("b_value"))
 
 
 @query("""WITH o AS (SELECT o_orderkey k, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') w FROM orders),
@@ -168,7 +173,7 @@ def timestamp_offset_mismatch(spark, sf):
     a, b = F.concat("w", pick(3, ["Z", "+02:00", ""])), F.concat("w", pick(4, ["+00:00", "+0200", "-05:30", ""]))
     rows = o.select(F.col("k").alias("asset_id"), F.explode(F.array(F.struct(F.lit(0).alias("ord"), F.lit("exif").alias("namespace"), F.lit("DateTimeOriginal").alias("tag_name"), a.alias("t")), F.struct(F.lit(1).alias("ord"), F.lit("xmp").alias("namespace"), F.lit("CreateDate").alias("tag_name"), b.alias("t")))).alias("e"))
     rows = rows.select("asset_id", "e.ord", "e.namespace", "e.tag_name", value(F.lit("timestamp"), F.col("e.t")).alias("value"))
-    return K.offset_mismatches(rows, R.group_table(spark, R.SEMANTIC[:1])).select("asset_id", "message")
+    return K.offset_mismatches(rows).select("asset_id", "message")
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS value FROM orders")
@@ -206,10 +211,15 @@ SELECT event_id, CASE k % 4 WHEN 0 THEN 'rational' WHEN 1 THEN 'string' WHEN 2 T
 def coordinate_fallback(spark, sf):
     k = F.get_json_object("props", "$.k").cast("bigint")
     e = table(spark, sf, "events").select("event_id", k.alias("k"))
-    rational = F.when(F.col("k") % 4 == 0, S.dms_to_decimal(F.array(*(F.struct(x.cast("bigint").alias("numerator"), F.lit(1).cast("bigint").alias("denominator")) for x in (F.col("k"), F.lit(0), F.lit(0)))), F.lit("N")))
-    text = S.parse_double(F.when(F.col("k") % 4 == 1, F.concat(F.lit(" "), F.col("k").cast("string"), F.lit("\t"))).when(F.col("k") % 4 == 3, F.concat(F.col("k").cast("string"), F.lit("d"))))
-    number = F.when(F.col("k") % 4 == 2, F.col("k").cast("double"))
-    return e.select("event_id", F.when(rational.isNotNull(), "rational").when(text.isNotNull(), "string").when(number.isNotNull(), "float").alias("kind"), F.coalesce(rational, text, number).alias("degrees"))
+    case = F.col("k") % 4
+    kind = F.when(case == 0, "rational").when(case == 2, "float").otherwise("string")
+    text = F.when(case == 1, F.concat(F.lit(" "), F.col("k").cast("string"), F.lit("\t"))).when(case == 3, F.concat(F.col("k").cast("string"), F.lit("d")))
+    dms = F.array(*(F.struct(x.cast("bigint").alias("numerator"), F.lit(1).cast("bigint").alias("denominator")) for x in (F.col("k"), F.lit(0), F.lit(0))))
+    v = value(kind, text, d=F.when(case == 2, F.col("k"))).withField("rl", F.when(case == 0, dms))
+    tags = F.explode(F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(t).alias("tag_name")) for i, t in enumerate(("GPSLatitude", "GPSLongitude")))))
+    rows = e.select(F.col("event_id").alias("asset_id"), F.lit("exif").alias("namespace"), v.alias("value"), kind.alias("provenance"), tags.alias("t")).select("*", "t.*")
+    found = V.normalize(rows).where("field = 'location'").select(F.col("asset_id").alias("event_id"), F.get("sources", F.lit(0)).alias("kind"), F.col("value.c.latitude").alias("degrees"))
+    return e.select("event_id").join(found, "event_id", "left")
 
 
 @query("""SELECT c_custkey, CAST(CASE WHEN c_acctbal < 0 THEN '-' ELSE '+' END || CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) || '.5' AS DOUBLE) latitude, CAST(-(c_custkey % 180) AS DOUBLE) longitude, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey % 7 AS DOUBLE) END altitude FROM customer""")
@@ -254,8 +264,8 @@ def xml_unescape(spark, sf):
 
 @query(DAYS + "x AS (SELECT 1) SELECT asset_id, string_agg(ns, ', ' ORDER BY ord) keywords FROM d GROUP BY asset_id")
 def keywords_concat(spark, sf):
-    rows = days(spark, sf).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("ord", "namespace"))).alias("k"))
-    return rows.select("asset_id", F.array_join(F.transform("k", lambda x: x["namespace"]), ", ").alias("keywords"))
+    rows = days(spark, sf).withColumn("tag_name", F.lit("Keywords")).withColumn("value", value(F.lit("string"), F.col("namespace")))
+    return V.normalize(rows).where("field = 'keywords'").select("asset_id", F.col("value.s").alias("keywords"))
 
 
 def _conflicts(spark, sf):
@@ -283,9 +293,9 @@ def report_union(spark, sf):
     from pyspark.sql import Window
 
     e = days(spark, sf).withColumn("value", value(F.lit("string"), F.col("k")))
-    groups = R.group_table(spark, [("value", [(ns, "Event") for ns in ("purchase", "signup", "click", "view", "error")])])
+    groups = [("value", [(ns, "Event") for ns in ("purchase", "signup", "click", "view", "error")])]
     checks = K.disagreements(e, groups).select("asset_id", F.col("ord.source").alias("source"))
-    policy = K.policy_conflicts(K.reconcile(days(spark, sf), rule(spark, ["purchase"]))).select("asset_id", F.col("ord.source").alias("source"))
+    policy = K.spread(K.gathered(days(spark, sf)), K.policy(K.reconciled(F.col("es"), rule(["purchase"])))).select("asset_id", F.col("ord.source").alias("source"))
     place = F.row_number().over(Window.partitionBy("asset_id").orderBy("source"))
     return checks.unionByName(policy).select("asset_id", place.alias("place"), "source")
 
@@ -305,11 +315,12 @@ def capability_matrix(spark, sf):
 
 @query(DAYS + "n AS (SELECT asset_id, count(*) n_raw FROM d GROUP BY asset_id) SELECT asset_id, n_raw, CAST(1 AS BIGINT) n_normalized FROM n")
 def view_projection_json(spark, sf):
-    e = days(spark, sf)
-    raw = e.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("ord", "namespace", "k"))).alias("metadata"))
-    f = K.reconcile(e, rule(spark, ["purchase"])).groupBy("asset_id").agg(F.collect_list(F.struct("field", F.col("winner.value.i").alias("i"))).alias("fields"))
-    text = raw.join(f, "asset_id").select("asset_id", F.to_json(F.struct(F.struct("metadata").alias("raw"), F.struct("fields").alias("normalized"))).alias("j"))
-    size = lambda path: F.json_array_length(F.get_json_object("j", path)).cast("bigint")
+    entry = F.struct(F.col("ord").cast("int").alias("ord"), "namespace", F.lit("").alias("tag_id"), "tag_name", "value", F.lit(None).alias("provenance"), F.lit(None).alias("notes"))
+    assets = days(spark, sf).groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("ord", entry.alias("e"))), lambda a, b: (a["ord"] - b["ord"]).cast("int")).alias("e"))
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    made = {"path": F.col("asset_id"), "size_bytes": F.lit(0).cast("bigint"), "detected_format": F.lit("events"), "container": F.lit("events"), "status": F.lit("ok"), "error_message": F.lit(None).cast("string"), "nodes": none(NODE), "issues": none(ISSUE), "entries": F.transform("e", lambda x: x["e"]).cast(f"array<{ENTRY}>")}
+    text = V.to_json(V.analysis(assets.withColumns(made), "full", rule(["purchase"])))
+    size = lambda path: F.json_array_length(F.get_json_object("json", path)).cast("bigint")
     return text.select("asset_id", size("$.raw.metadata").alias("n_raw"), size("$.normalized.fields").alias("n_normalized"))
 
 
@@ -332,13 +343,112 @@ def group_catalog(spark, sf):
     return x.groupBy(F.upper("r_name").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("members"))
 
 
-@query()
-def media_decode_synth(spark, sf):
-    """The whole binary pipeline on built samples: normalised fields by file."""
-    from .operators import views
+# Expected values of the built samples, as text: field, kind, JSON of the value.
+MOMENT = """captured_at timestamp "2024-04-16T12:34:56"
+created_at timestamp "2024-04-16T12:34:56"
+modified_at timestamp "2024-04-16T12:34:56"
+"""
+PHOTO = MOMENT + """device.make string "SampleCam"
+device.model string "One"
+software string "SampleGen"
+orientation integer 1
+dimensions.width integer 800
+dimensions.height integer 600
+exposure.iso integer 200
+exposure.aperture rational {"numerator":56,"denominator":10}
+exposure.shutter_speed rational {"numerator":1,"denominator":250}
+exposure.focal_length_mm float 50.0
+lens.model string "Sample 50mm F2"
+"""
+CREATOR = """author string "K & Co"
+"""
+PROFILE = """color.profile.name string "Sample RGB"
+color.profile.class string "display"
+color.space string "RGB"
+"""
+CLIP = MOMENT + """dimensions.width integer 1920
+dimensions.height integer 1080
+duration float 12.0
+video.framerate float 23.976023976023978
+video.bitrate integer 24000000
+codec.video string "avc1"
+codec.audio string "mp4a"
+audio.channels integer 2
+audio.sample_rate integer 48000
+"""
+SOUND = """duration float 1.0
+audio.channels integer 2
+audio.sample_rate integer 44100
+"""
+DEPTH = """audio.bit_depth integer 16
+"""
+EXPECTED = {
+    "plain.jpg": PHOTO,
+    "gps.jpg": PHOTO + 'location coordinates {"latitude":40.4462,"longitude":-79.9821}',
+    "rich.jpg": PHOTO + CREATOR + PROFILE + 'headline string "Head"\nkeywords string "sea, sky, a, b"',
+    "big.tif": PHOTO,
+    "raw.dng": 'device.make string "RawCam"\ndimensions.width integer 800\ndimensions.height integer 600\nexposure.iso integer 400',
+    "mixed.png": PHOTO + CREATOR + PROFILE,
+    "both.webp": PHOTO + CREATOR,
+    "still.heic": PHOTO,
+    "clip.mp4": CLIP + 'device.model string "FC3682"\ndrone.flight.yaw_deg float 175.5\nlocation coordinates {"latitude":40.7922,"longitude":-73.9584}',
+    "clip.mov": CLIP,
+    "song.m4a": CLIP + 'author string "Kai"',
+    "song.flac": SOUND + DEPTH,
+    "song.aiff": SOUND + DEPTH,
+    "song.ogg": SOUND + DEPTH + 'codec.audio string "vorbis"',
+    "song.opus": SOUND.replace("44100", "48000") + 'codec.audio string "opus"',
+}
+# Expected formats, statuses, issue codes and fields in conflict of the samples.
+OUTCOMES = """plain.jpg jpeg ok - -
+gps.jpg jpeg ok - -
+rich.jpg jpeg ok - captured_at,device.model,author,dimensions.width
+broken.jpg jpeg ok jpeg_segment_length_invalid,no_metadata_entries -
+badtiff.jpg jpeg parse_error - -
+big.tif tiff ok - -
+raw.dng dng ok - -
+mixed.png png ok - captured_at,device.model
+noend.png png ok png_missing_iend,no_metadata_entries -
+both.webp webp ok - captured_at,device.model
+still.heic heif ok - dimensions.width,dimensions.height
+clip.mp4 mp4 ok - -
+clip.mov mov ok - -
+song.m4a m4a ok - -
+song.flac flac ok - -
+song.aiff aiff ok - -
+song.ogg ogg ok - -
+song.opus ogg ok - -
+none.bin - unsupported_format - -"""
+
+
+def _values(rows, columns: str) -> str:
+    cell = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({columns})"
+
+
+def _expected():
+    for path, lines_ in EXPECTED.items():
+        for line in lines_.strip().split("\n"):
+            field, kind, said = line.split(" ", 2)
+            yield path, field, kind, f'{{"kind":"{kind}","value":{said}}}'
+
+
+def _analysed(spark):
     from .sources import assets, samples
 
     df = spark.createDataFrame([(k, bytearray(v)) for k, v in samples.all_samples().items()], "path string, content binary")
-    decoded = assets.decode_assets(assets.memory_assets(df))
-    fields = views.normalize(assets.entries_of(decoded)).join(decoded.select("asset_id", "path"), "asset_id")
-    return fields.select("path", "field", F.col("value.kind").alias("kind"), views.tagged(F.col("value")).alias("value"))
+    return V.analysis(assets.decode_assets(assets.memory_assets(df)), "normalized")
+
+
+@query(_values(_expected(), "path, field, kind, value"))
+def media_decode_synth(spark, sf):
+    """The whole binary pipeline on built samples of every container: normalised fields by file."""
+    fields = _analysed(spark).select("path", F.explode("normalized.fields").alias("f"))
+    return fields.select("path", "f.field", F.col("f.value.kind").alias("kind"), V.tagged(F.col("f.value")).alias("value"))
+
+
+@query(_values(([None if x == "-" else x for x in line.split()] for line in OUTCOMES.split("\n")), "path, format, status, issues, conflicts"))
+def media_report_synth(spark, sf):
+    """Formats, statuses, issues and conflicts of the same samples."""
+    names = lambda a, k: F.nullif(F.array_join(F.transform(a, lambda x: x[k]), ","), F.lit(""))
+    return _analysed(spark).select("path", F.col("detected_format").alias("format"), "status", names("report.issues", "code").alias("issues"), names("report.conflicts", "field").alias("conflicts"))

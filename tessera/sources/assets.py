@@ -12,6 +12,8 @@ from ..functions.scalars import detect_format
 from ..schemas import DECODED
 
 MAX_BYTES = 1 << 30
+#: Decoded assets of one Arrow batch.
+ROWS = 64
 
 
 def read_assets(spark: SparkSession, path: str, glob: str | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -52,6 +54,7 @@ def decode_assets(assets: DataFrame, probe: bool = False, formats=None) -> DataF
     def run(batches):
         from .decode import decode, decode_file
 
+        rows = []
         for batch in batches:
             ids, paths, sizes, formats_ = (batch.column(i).to_pylist() for i in (0, 1, 2, 4))
             for k, content in enumerate(batch.column(3)):
@@ -59,8 +62,12 @@ def decode_assets(assets: DataFrame, probe: bool = False, formats=None) -> DataF
                 found = decode_file(paths[k], probe, formats) if by_path else decode(content.as_py(), formats_[k], probe)
                 if found is None:
                     continue
-                row = {"asset_id": ids[k], "path": paths[k], "size_bytes": sizes[k]} | found
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
+                rows.append({"asset_id": ids[k], "path": paths[k], "size_bytes": sizes[k]} | found)
+                if len(rows) == ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     rows = assets.withColumn("detected_format", detect_format(F.col("content")))
     if formats:

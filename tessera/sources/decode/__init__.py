@@ -37,6 +37,8 @@ def decode_file(path: str, probe: bool = False, formats=None) -> dict | None:
         return EMPTY | {"status": "io_error", "error_message": f"no content, and not read by path: {type(e).__name__}: {e}"}
     try:
         fmt = detect(content)
+        if fmt == "tiff" and images.is_dng(content):
+            fmt = "dng"
         return None if formats and fmt not in formats else decode(content, fmt, probe)
     except OSError as e:
         return EMPTY | {"status": "io_error", "error_message": f"{type(e).__name__}: {e}"}

@@ -34,6 +34,11 @@ def iso_time(seconds: int | None) -> str | None:
     return at.strftime("%Y-%m-%dT%H:%M:%S") if at and at.year >= 1970 else None
 
 
+# Sample entries that tell channels and rate.
+AUDIO = (b"mp4a", b"ac-3", b"ec-3", b"alac", b"twos", b"sowt", b"lpcm", b"in24", b"in32", b"fl32", b"fl64", b"ulaw", b"alaw")
+LEVELS = 200
+
+
 class Media:
     """Boxes of a file, and what they say."""
 
@@ -68,7 +73,9 @@ class Media:
             label = f"{path}/{name}" if path else name
             out.node("box", label, at, at + size, parent)
             self.box(kind, name, at + head, at + size, label)
-            if kind in PARENTS and label.count("/") < 32:
+            if kind in PARENTS and label.count("/") >= LEVELS:
+                out.issue("isobmff_nesting_too_deep", f"boxes below {LEVELS} levels are not read", at)
+            elif kind in PARENTS:
                 if kind == b"trak":
                     self.tracks.append({"at": at})
                 skip = PARENTS[kind]
@@ -112,7 +119,8 @@ class Media:
                 return self.cut(name, a)
             entry = d[8 : 8 + uint(d, 8, 4)]
             track["codec"] = fourcc(entry[4:8])
-            track["channels"], track["rate"] = uint(entry, 24, 2), uint(entry, 32, 4)
+            if entry[4:8] in AUDIO:
+                track["channels"], track["rate"] = uint(entry, 24, 2), uint(entry, 32, 4)
             i = entry.find(b"btrt")
             if i >= 4 and (rate := uint(entry, i + 12, 4)):
                 track["average"] = rate
@@ -168,7 +176,7 @@ class Media:
                 self.out.issue("isobmff_mime_payload_unsupported", "content type is not read", a, "info")
         elif kind == b"xml ":
             self.payloads.append(("xmp", a + 4, d[4:], "xml"))
-        elif kind == b"uuid" and b"<x:xmpmeta" in d[16:4096]:
+        elif kind == b"uuid" and b"<x:xmpmeta" in d[16:]:
             self.payloads.append(("xmp", a + 16, d[16:], "uuid"))
         elif kind == b"iref":
             self.out.issue("isobmff_structure_recognized_uninterpreted", "item references are not read", a, "info")

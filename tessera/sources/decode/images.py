@@ -94,8 +94,11 @@ def jpeg(b: bytes, _: str, deep: bool) -> Out:
 
 
 def _inflate(b: bytes) -> bytes | None:
+    """The whole inflated stream; None if it is broken or cut."""
     try:
-        return zlib.decompressobj().decompress(b, 64 << 20)
+        stream = zlib.decompressobj()
+        out = stream.decompress(b)
+        return out if stream.eof else None
     except zlib.error:
         return None
 

@@ -42,7 +42,7 @@ class Tiff:
             self.issues.append(("tiff_ifd_out_of_bounds", "directory lies outside the data", self.base + at))
             return
         self.directories.append((name, self.base + at, self.base + min(len(d), at + 2 + 12 * n)))
-        later = []
+        later = {}
         for k in range(n):
             slot = at + 2 + 12 * k
             if slot + 12 > len(d):
@@ -56,9 +56,10 @@ class Tiff:
                 self.issues.append(("tiff_value_out_of_bounds", "value lies outside the data", self.base + slot))
             self.slots.append((name, tag, kind, count, value, slot, start if size > 4 else None))
             if tag in POINTERS:
-                later.append((uint(d, slot + 8, 4, o), POINTERS[tag]))
-        for where, what in later:
-            self._walk(where, what)
+                later[tag] = uint(d, slot + 8, 4, o)
+        for tag in POINTERS:  # the last pointer of a kind counts
+            if tag in later:
+                self._walk(later[tag], POINTERS[tag])
 
     def payload(self, tag: int):
         """(start, bytes) of the first out-of-line value of a tag."""

@@ -166,6 +166,7 @@ def all_samples() -> dict[str, bytes]:
         "broken.jpg": b"\xff\xd8\xff\xe1\xff\xff",
         "badtiff.jpg": jpeg(exif_app1(b"XX")),
         "big.tif": camera_tiff(">"),
+        "raw.dng": tiff([text(0x010F, "RawCam"), (0x0100, 4, 1, 800), (0x0101, 4, 1, 600), (0xC612, 1, 4, b"\1\4\0\0")], [(0x8827, 3, 1, 400)]),
         "mixed.png": png((b"eXIf", photo), (b"iTXt", b"XML:com.adobe.xmp\0\0\0\0\0" + xmp(model="Two", created="2024-04-16T12:34:56")), (b"iCCP", b"p\0\0" + zlib.compress(icc()))),
         "noend.png": png(end=False),
         "both.webp": webp((b"XMP ", xmp(model="Two", created="2024-04-16T12:34:56")), (b"EXIF", photo)),

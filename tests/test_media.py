@@ -35,6 +35,7 @@ def test_formats_and_status(decoded):
     got = {r.path: (r.status, r.detected_format) for r in decoded.collect()}
     assert got["gps.jpg"] == ("ok", "jpeg") and got["big.tif"] == ("ok", "tiff") and got["mixed.png"] == ("ok", "png")
     assert [got[p][1] for p in ("both.webp", "still.heic", "clip.mp4", "clip.mov", "song.m4a", "song.flac", "song.aiff", "song.ogg", "song.opus")] == ["webp", "heif", "mp4", "mov", "m4a", "flac", "aiff", "ogg", "ogg"]
+    assert got["raw.dng"] == ("ok", "dng")
     assert got["none.bin"] == ("unsupported_format", None) and got["badtiff.jpg"][0] == "parse_error" and got["null"][0] == "io_error"
 
 
@@ -109,7 +110,7 @@ def test_envelopes(decoded, spark):
 @pytest.mark.parametrize("name", sorted(SAMPLES))
 def test_decoding_never_raises(name, spark):
     rng = random.Random(name)
-    fmt = {"jpg": "jpeg", "tif": "tiff", "heic": "heif", "opus": "ogg", "bin": "jpeg"}.get(name.split(".")[1], name.split(".")[1])
+    fmt = {"jpg": "jpeg", "tif": "tiff", "dng": "dng", "heic": "heif", "opus": "ogg", "bin": "jpeg"}.get(name.split(".")[1], name.split(".")[1])
     b = SAMPLES[name]
     for k in range(150):
         x = bytearray(b[: rng.randint(0, len(b))] if k % 2 else b)

@@ -1,6 +1,7 @@
 import struct
 import zlib
 
+from tessera.operators import views
 from tessera.sources import assets, samples
 from tessera.sources.decode import decode
 
@@ -125,3 +126,52 @@ def test_large_files_are_read_by_path(spark, tmp_path):
     (tmp_path / "huge.mov").unlink()
     gone = spark.createDataFrame([(1, str(tmp_path / "huge.mov"), 5, None)], "asset_id long, path string, size_bytes long, content binary")
     assert assets.decode_assets(gone).first().status == "io_error"
+
+
+def test_dng_is_told_in_the_jvm(spark):
+    files = {k: v for k, v in samples.all_samples().items() if k in ("raw.dng", "big.tif", "gps.jpg")}
+    files |= {"cut.tif": b"II*\0\x08\0\0\0\xff\xff", "far.tif": b"MM\0*\xff\xff\xff\xff", "short.tif": b"II*\0", "big.dng": samples.tiff([(0xC612, 1, 4, b"\1\4\0\0")], order=">")}
+    df = assets.memory_assets(spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()], "path string, content binary"))
+    told = df.select("path", assets.detect_format(df["content"]).alias("f")).collect()
+    assert {r.path: r.f for r in told} == {k: {"jpg": "jpeg", "tif": "tiff", "dng": "dng"}[k[-3:]] for k in files}
+    only = assets.decode_assets(df, formats=["dng"]).collect()
+    assert {(r.path, r.detected_format, r.status) for r in only} == {("raw.dng", "dng", "ok"), ("big.dng", "dng", "ok")}
+
+
+def test_whole_streams_boxes_and_packets():
+    icc = samples.icc("N" * 60) + bytes(65 << 20)
+    row = decode(samples.png((b"iCCP", b"p\0\0" + zlib.compress(icc))), "png")
+    assert "ProfileDescription" in tags(row, "icc")
+    cut = decode(samples.png((b"iCCP", b"p\0\0" + zlib.compress(samples.icc())[:-9])), "png")
+    assert not tags(cut, "icc")
+    far = samples.box(b"uuid", b"\0" * 16, b" " * 9000, samples.xmp(model="Two"))
+    assert "Model" in tags(decode(samples.movie() + far, "mp4"), "xmp")
+    deep = samples.movie()[20:]
+    for _ in range(60):
+        deep = samples.box(b"moov", deep)
+    assert "DurationSeconds" in tags(decode(samples.movie()[:20] + deep, "mp4"), "quicktime")
+    for _ in range(200):
+        deep = samples.box(b"moov", deep)
+    assert "isobmff_nesting_too_deep" in [i["code"] for i in decode(samples.movie()[:20] + deep, "mp4")["issues"]]
+
+
+def test_directories_are_read_exif_before_gps():
+    b = bytearray(samples.camera_tiff(gps=True))
+    n = int.from_bytes(b[8:10], "little")
+    slots = [10 + 12 * k for k in range(n)]
+    x, y = (next(s for s in slots if b[s : s + 2] == t) for t in (b"\x69\x87", b"\x25\x88"))
+    b[x : x + 12], b[y : y + 12] = b[y : y + 12], b[x : x + 12]
+    rest = [[e["tag_name"] for e in decode(x, "tiff")["entries"] if e["tag_name"] not in ("GPSInfo", "ExifOffset")] for x in (bytes(b), samples.camera_tiff(gps=True))]
+    assert rest[0] == rest[1] and "GPSLatitude" in rest[0]
+
+
+def test_rates_of_unlisted_codecs_are_not_read():
+    row = decode(samples.movie().replace(b"mp4a", b"abcd"), "mp4")
+    assert "AudioSampleRate" not in tags(row, "quicktime") and "AudioCodec" in tags(row, "quicktime")
+
+
+def test_an_asset_is_decoded_once_without_shuffles(spark, tmp_path):
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in samples.all_samples().items()], "path string, content binary")
+    for view in views.VIEWS:
+        plan = views.to_json(views.analysis(assets.decode_assets(assets.memory_assets(df)), view))._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and "Join" not in plan
