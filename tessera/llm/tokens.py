@@ -28,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEAF = 1024
+#: Times its size to which a leaf may grow by edits.
+GROWN = 4
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 #: What the query's edits mask.
@@ -70,6 +72,24 @@ class TokenTree:
         self._build([(x, self._encode(x)) for x in leaves(text, size)])
         self.encoded = 0
 
+    @classmethod
+    def kept(cls, text: str, chars, tokens, count, size: int = LEAF) -> TokenTree:
+        """The tree of a text whose leaves were counted before; nothing is encoded."""
+        tree, at, parts = cls("", count, size), 0, []
+        for c, n in zip(chars, tokens):
+            parts.append((text[at : at + c], n))
+            at += c
+        if at != len(text):
+            raise ValueError("the kept leaves are not those of the text")
+        tree._build(parts)
+        tree.encoded = 0
+        return tree
+
+    def leaf_counts(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves with text."""
+        have = [i for i in range(self.base, 2 * self.base) if self.chars[i]]
+        return [self.chars[i] for i in have], [self.tokens[i] for i in have]
+
     def _encode(self, x: str) -> int:
         self.encoded += len(x)
         return self.count(x)
@@ -128,6 +148,9 @@ class TokenTree:
         while (k := self._near(b, 1)) >= 0 and not safe(region, self.texts[k]):
             b, region = k, region + self.texts[k]
         parts = [(x, self._encode(x)) for x in leaves(region, self.size)]
+        extra = parts[b - a :]  # a leaf may grow to some times its size before the tree does
+        if len(extra) > 1 and sum(len(x) for x, _ in extra) <= GROWN * self.size:
+            parts = [*parts[: b - a], ("".join(x for x, _ in extra), sum(n for _, n in extra))]
         if len(parts) > b - a + 1:
             whole = [(self.texts[i], self.tokens[self.base + i]) for i in range(self.base) if self.texts[i] and not a <= i <= b]
             k = sum(1 for i in range(a) if self.texts[i])
@@ -188,5 +211,51 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY, edits=mask_
     return keyed(documents).select("doc_id", "text").mapInArrow(run, ", ".join(f"{f.name} long" for f in SCHEMA))
 
 
+TREES = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_tokens", pa.int64()), ("leaf_chars", pa.list_(pa.int32())), ("leaf_tokens", pa.list_(pa.int32())), ("n_chars_encoded_again", pa.int64())])
+TREES_DDL = "doc_id long, text string, n_tokens long, leaf_chars array<int>, leaf_tokens array<int>, n_chars_encoded_again long"
+
+
+def _trees(ranks, leaf):
+    """Batches of (doc_id, text, leaf_chars, leaf_tokens, edits) to trees; without leaves the text is encoded whole."""
+
+    def run(batches):
+        encode = encoder(ranks.value).encode_ordinary
+        count = lambda x: len(encode(x))
+        for batch in batches:
+            out = []
+            for doc, text, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns)):
+                tree = TokenTree(text or "", count, leaf) if chars is None else TokenTree.kept(text or "", chars, tokens, count, leaf)
+                for e in edits or ():
+                    tree.edit(e["start"], e["end"], e["new"])
+                out.append((doc, tree.text if text is not None or edits else None, tree.n_tokens, *tree.leaf_counts(), tree.encoded))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), TREES)] if out else [pa.nulls(0, f.type) for f in TREES], schema=TREES)
+
+    return run
+
+
+def token_trees(documents: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
+    """Trees to keep: doc_id, text, n_tokens, leaf_chars, leaf_tokens, n_chars_encoded_again (0). doc_id is to be unique."""
+    with open(vocabulary, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast(f.read())
+    none = F.lit(None)
+    rows = keyed(documents).select("doc_id", "text", none.cast("array<int>").alias("chars"), none.cast("array<int>").alias("tokens"), none.cast("array<struct<start:int,end:int,new:string>>").alias("edits"))
+    return rows.mapInArrow(_trees(ranks, leaf), TREES_DDL)
+
+
+def edit_trees(trees: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY, leaf: int = LEAF) -> DataFrame:
+    """Kept trees after edits (doc_id, ord, start, end, new), applied in order of ord to the text as it then is.
+
+    Only what an edit touches, with its boundary, is encoded; documents without edits are not encoded at all. Edits of
+    documents that have no tree, and null edits, do nothing; an edit outside the text fails.
+    """
+    with open(vocabulary, "rb") as f:
+        ranks = trees.sparkSession.sparkContext.broadcast(f.read())
+    one = F.struct("ord", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.coalesce("new", F.lit("")).alias("new"))
+    todo = edits.where("start is not null and end is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.array_sort(F.collect_list(one)).alias("edits"))
+    rows = trees.join(todo, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    plain = F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["new"].alias("new")))
+    return rows.select("doc_id", "text", "leaf_chars", "leaf_tokens", plain.alias("edits")).mapInArrow(_trees(ranks, leaf), TREES_DDL)
+
+
 def total(counts: DataFrame) -> DataFrame:
     return counts.agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_tokens_edited").alias("n_tokens_edited"))

@@ -40,3 +40,24 @@ def test_query_against_brute_force(spark):
         assert (r.n_tokens, r.n_tokens_edited, r.n_chars) == (COUNT(text), COUNT(edited), len(text))
     assert tokens.mask_edits(texts[0])[0][2] == "<phone>" and len(tokens.mask_edits(texts[0])) == 2
     assert tokens.token_counts(df.limit(0)).count() == 0
+
+
+def test_kept_trees_follow_batches_of_edits(spark, tmp_path):
+    texts = ["some words that go on " * 2000, None, "", "short one"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, leaf_chars string")
+    tokens.token_trees(df).write.parquet(str(tmp_path / "0"))
+    trees = spark.read.parquet(str(tmp_path / "0"))
+    assert {r.doc_id: r.n_tokens for r in trees.collect()} == {i: COUNT(t or "") for i, t in enumerate(texts)}
+    batches = [[(0, 1, 500, 504, "other"), (0, 2, 30_000, 30_001, "x" * 3000), (2, 1, 0, 0, "now some"), (9, 1, 0, 0, "no such")], [(0, 1, 100, 20_000, None), (3, 1, 0, 5, "long"), (3, 2, 4, 4, "er"), (1, 1, 0, 0, "a b"), (1, 2, None, 1, "z")]]
+    for n, batch in enumerate(batches, 1):
+        edits = spark.createDataFrame(batch, "doc_id long, ord int, start int, end int, new string")
+        tokens.edit_trees(trees, edits).write.parquet(str(tmp_path / str(n)))
+        trees = spark.read.parquet(str(tmp_path / str(n)))
+        for i, _, a, b, new in batch:
+            if i < len(texts) and a is not None:
+                t = texts[i] or ""
+                texts[i] = t[:a] + (new or "") + t[b:]
+        for r in trees.collect():
+            assert r.text == texts[r.doc_id] and r.n_tokens == COUNT(texts[r.doc_id] or "") and sum(r.leaf_chars) == len(texts[r.doc_id] or "")
+            touched = r.doc_id in {x[0] for x in batch if x[2] is not None}
+            assert (r.n_chars_encoded_again == 0) if not touched else r.n_chars_encoded_again <= 3000 + 12 * tokens.LEAF
