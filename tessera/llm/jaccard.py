@@ -36,7 +36,6 @@ BANDS, ROWS = 32, 4
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 256
-ROUNDS = 60
 
 
 def shingles(words: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -227,15 +226,15 @@ def exact(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float
     return out
 
 
-def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for the nodes of edges (a, b): label is the smallest node of the component.
 
-    Alternating large-star and small-star rounds over tables; each halves the depth of what remains. The edges of a
+    Alternating large-star and small-star rounds over tables until nothing changes; each halves the depth of what remains. The edges of a
     hub are many, so the least neighbours (a row a node) are broadcast or the hub's edges salted.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = spread_join(both.where("b > a"), low, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b"))  # larger neighbours to the least one
@@ -247,8 +246,6 @@ def components(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
@@ -274,8 +271,8 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
     classes = written(classes, "classes")
 
     keys = classes.select("cls", F.explode(F.array(*_bands("sig"))).alias("band"))
-    crowded = keys.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = keys.join(crowded, "band").select(F.col("band").alias("g"), "cls", "size")
+    crowded = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowded")
+    members = spread_join(keys, crowded, ["band"], ["cls"]).select(F.col("band").alias("g"), "cls", "size")
     members = members.join(classes.select("cls", "sig"), "cls").select("g", "cls", "size", "sig")
     dealt = block_pairs(members, "g", block).select("g", "left", "right", "cls", "mine", "sig").repartition("g", "left", "right").sortWithinPartitions("g", "left", "right")
     edges = dealt.mapInArrow(_prune(need), "a long, b long")
