@@ -29,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 FINE = 4096
-ROUNDS = 40
+ROUNDS = 100
 CLOSE = 1e-7
 
 
@@ -66,7 +66,7 @@ def solve(counts: DataFrame, wanted: DataFrame, cap: float = CAP, rounds: int =
     start = F.when(inside, F.log(F.col("target") / (full - F.col("target"))))
     state = state.select("*", start.alias("tilt"), F.when(inside, F.lit(-1e6)).alias("lo"), F.when(inside, F.lit(1e6)).alias("hi"))
     state = written(state, "tilts")
-    for _ in range(rounds):
+    for k in range(rounds):
         x = F.col("size") / F.col("mean")
         r = rate(F.col("tilt"), x, cap)
         rows = counts.join(small(state.where("tilt is not null")).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
@@ -76,6 +76,8 @@ def solve(counts: DataFrame, wanted: DataFrame, cap: float = CAP, rounds: int =
         worst = both.agg(F.max(F.abs(F.col("got") / F.col("target") - 1))).first()[0]
         if worst is None or worst < close:
             break
+        if k == rounds - 1:
+            raise RuntimeError(f"the dual did not settle in {rounds} rounds; largest relative error {worst}")
         high = F.col("got") > F.col("target")
         lo, hi = F.when(high, F.col("lo")).otherwise(F.col("tilt")), F.when(high, F.col("tilt")).otherwise(F.col("hi"))
         step = F.col("tilt") - (F.col("got") - F.col("target")) / F.nullif(F.col("slope"), F.lit(0.0))
