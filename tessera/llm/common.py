@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or in local mode (tests) one of our own where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", "")
     if not at:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -43,22 +45,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def spread_join(big: DataFrame, other: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
-    """Inner join of a table whose keys may be hot with a written one that has few rows a key.
+def spread_join(big: DataFrame, other: DataFrame, keys: list[str], row: list[str], how: str = "inner") -> DataFrame:
+    """Inner or left join of a table whose keys may be hot with a written one that has few rows a key.
 
     other is broadcast if it is counted to be small. Else the rows of each key that has more than HOT_ROWS of big are
     salted, by a hash of the columns `row`, to as many tasks as their count asks for, and other repeats that key for
     each. The list of hot keys is broadcast; it has at most BROADCAST_ROWS rows, as a key must hold that share of big.
     """
     if other.count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(other), keys)
+        return big.join(F.broadcast(other), keys, how)
     per = max(HOT_ROWS, big.count() // max(BROADCAST_ROWS, 1))
     hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per)
     hot = F.broadcast(written(hot.select(*keys, F.ceil(F.col("_n") / per).cast("int").alias("_salts")), "hot"))
     salts = F.coalesce("_salts", F.lit(1))
     left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*row), salts).cast("int")).drop("_salts")
     right = other.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def text_key() -> Column:

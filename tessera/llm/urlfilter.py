@@ -3,7 +3,8 @@
 The Bloom filter has blocks of four 64-bit words; a URL sets one bit in each word of its block. It is a table
 (block, four words) made by a grouped bitwise or. Pages look their block up, and only possible hits meet the list in an
 exact hash join, which removes false positives. Filter and list are broadcast only if they were counted and are small;
-otherwise both joins are shuffled, and pages that cannot be hits get a key of their own instead of meeting in one task.
+otherwise both joins are shuffled: pages that cannot be hits get a key of their own instead of meeting in one task, and the
+pages of a hot block or URL are salted by their count.
 DataFrame functions only.
 
 Edge cases: a null URL, or one without `://`, has an empty host, path and canonical form, fits no rule and is allowed;
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import spread_join, written
 
 #: (verdict, host, path)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -68,16 +69,15 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules=RULES, bits_per_url: i
     urls = written(listed.select(F.col("url").cast("string").alias("url")).where("url is not null and url <> ''").distinct(), "listed")
     n = urls.count()
     blocks = max(1, -(-n * bits_per_url // 256))
-    bloom = small(written(bloom_table(urls, blocks), "bloom"))
-    exact = F.broadcast(urls) if n <= 100_000 else urls
+    bloom = written(bloom_table(urls, blocks).withColumnRenamed("block", "probe"), "bloom")
     rows = split_url(pages.select("page_id", "url")).withColumn("canonical", canonical(F.col("_host"), F.col("_path")))
-    rows = rows.withColumn("probe", F.pmod(F.xxhash64("canonical"), F.lit(blocks))).join(bloom, F.col("probe") == bloom["block"], "left")
+    rows = rows.withColumn("probe", F.pmod(F.xxhash64("canonical"), F.lit(blocks)))
+    rows = spread_join(rows, bloom, ["probe"], ["page_id", "canonical"], "left")
     maybe = F.lit(True)
     for i, b in enumerate(_bits("canonical")):
         maybe = maybe & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(b) != 0)
     key = F.when(maybe, F.col("canonical")).otherwise(F.concat(F.lit("\0"), F.xxhash64("page_id", "canonical").cast("string")))
-    rows = rows.withColumn("key", key)
-    rows = rows.join(exact.withColumnRenamed("url", "hit"), F.col("key") == F.col("hit"), "left")
+    rows = spread_join(rows.withColumn("key", key), urls.select(F.col("url").alias("key"), F.col("url").alias("hit")), ["key"], ["page_id"], "left")
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
     is_listed = F.col("hit").isNotNull()
     return rows.select("page_id", F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), F.coalesce(verdict, F.when(is_listed, "block").otherwise("allow")).alias("verdict"), is_listed.alias("listed"))
