@@ -7,8 +7,8 @@ lies in the feasible interval are multiplied (coordinate pruning); otherwise tho
 surviving products are exact integers: through float64 where every sum stays below 2**53, through an 80-bit float below
 2**63, and beyond through Python's integers, for pairs that an interval around the product does not rule out.
 
-Queries are read in blocks of `block` rows, each broadcast once against all rows; a task returns at most k rows for a
-query, and the last sort of a query sees k rows a task.
+Queries are read in blocks of `block` rows, each broadcast once against all rows, its answers written and the broadcast
+released before the next; a task returns at most k rows for a query, and the last sort of a query sees k rows a task.
 
 Edge cases: vectors that are null, empty, or hold a null or non-finite component take no part, as do rows without
 vec_id; a score that no long holds ranks by its exact value and is shown as the nearest long (the SQL fails there); rows of a query's own vec_id are never its candidates; repeated
@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 K = 5
 SCALE = 256
 BUCKET = 512
@@ -237,9 +239,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, scale: float = SCALE
             by_dim[q.shape[1]] = (np.arange(at, at + len(ids)), ids, q)
             names += ids.tolist()
             at += len(ids)
-        found = rows.mapInArrow(_search(spark.sparkContext.broadcast(by_dim), k, scale, bucket), "q int, vec_id long, score long, beyond binary")
+        sent = spark.sparkContext.broadcast(by_dim)
+        found = rows.mapInArrow(_search(sent, k, scale, bucket), "q int, vec_id long, score long, beyond binary")
         ids = spark.createDataFrame(list(enumerate(names)), "q int, query_id long")
         one = found.join(F.broadcast(ids), "q").withColumn("b", F.lit(b))
+        if blocks > 1:  # only one block of queries is held at a time
+            one = written(one, "found")
+            sent.destroy()
         out = one if out is None else out.unionByName(one)
     rank = F.row_number().over(Window.partitionBy("b", "q").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
