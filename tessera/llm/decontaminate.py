@@ -5,8 +5,8 @@ containment counts, so the necessary prefix of a window is one word: its rarest,
 document word that is some window's prefix gives candidate starts by its offset in the window (positional bound) and
 the window's length (length bound); the words there are then compared whole.
 
-Items are read in blocks of at most `block_bytes` of text; a block's index is broadcast and all documents pass by it
-once, with no shuffle. Hot words cost at most one lookup a (offset, length) pair and occurrence.
+Items are read in blocks of about `block_bytes` of text; a block's index is broadcast and all documents pass by it
+once, with no shuffle. Words are counted in one pass for all blocks. Hot words cost at most one lookup a (offset, length) pair and occurrence.
 
 Edge cases: a null text has no words; an item without words has no window; repeated items are one item; a null item_id
 hits words but is not listed or counted; a null doc_id and repeated rows are ordinary rows; extra columns are ignored.
@@ -102,6 +102,15 @@ def _count(vocabulary):
     return run
 
 
+def _count_all(batches):
+    for batch in batches:
+        have = defaultdict(int)
+        for raw in texts_of(batch.column(0)):
+            for w in words(raw):
+                have[w] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.binary()), pa.array(list(have.values()), pa.int64())], ["word", "n"])
+
+
 def _scan(index, all_rows):
     def run(batches):
         for batch in batches:
@@ -125,13 +134,22 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     schema = f"doc_id long, tkey long, n_words long, runs {RUNS}, items array<string>"
     found = []
+    total = lambda counted: counted.groupBy("word").agg(F.sum("n").alias("n"))
+    every = written(total(docs.select("text").mapInArrow(_count_all, "word binary, n long")), "words") if blocks > 1 else None
     for b in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         windows = item_windows(block, window)
-        vocabulary = spark.sparkContext.broadcast({x for w in windows for x in w})
-        counts = docs.select("text").mapInArrow(_count(vocabulary), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        known = {x for w in windows for x in w}
+        if every is None:
+            counts = total(docs.select("text").mapInArrow(_count(spark.sparkContext.broadcast(known)), "word binary, n long"))
+        else:  # at most block_bytes of words
+            counts = every.join(F.broadcast(spark.createDataFrame([(bytearray(x),) for x in known], "word binary")), "word", "left_semi")
         index = spark.sparkContext.broadcast(Index(windows, {bytes(r.word): r.n for r in counts.collect()}))
-        found.append(docs.mapInArrow(_scan(index, b == 0), schema))
+        one = docs.mapInArrow(_scan(index, b == 0), schema)
+        if b:  # only one block's index is held at a time, besides the first
+            one = written(one.select("doc_id", "tkey", "runs", "items"), "hits")
+            index.destroy()
+        found.append(one)
     if blocks == 1:
         return found[0]
 
@@ -139,9 +157,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     def joined(runs):
         return runs.map(lambda r: [{"start": s, "end": e} for s, e in merged((x["start"], x["end"]) for x in r)])
 
-    rest = written(found[1].select("doc_id", "tkey", "runs", "items"), "hits")
+    rest = found[1]
     for f in found[2:]:
-        rest = rest.unionByName(written(f.select("doc_id", "tkey", "runs", "items"), "hits"))
+        rest = rest.unionByName(f)
     rest = rest.groupBy("doc_id", "tkey").agg(F.flatten(F.collect_list("runs")).alias("more"), F.flatten(F.collect_list("items")).alias("others"))
     base = found[0]
     none = F.array().cast
