@@ -45,18 +45,23 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def spread_join(big: DataFrame, other: DataFrame, keys: list[str], row: list[str], how: str = "inner") -> DataFrame:
+def spread_join(big: DataFrame, other: DataFrame, keys: list[str], row: list[str], how: str = "inner", sizes: str | None = None) -> DataFrame:
     """Inner or left join of a table whose keys may be hot with a written one that has few rows a key.
 
     other is broadcast if it is counted to be small. Else the rows of each key that has more than HOT_ROWS of big are
     salted, by a hash of the columns `row`, to as many tasks as their count asks for, and other repeats that key for
     each. The list of hot keys is broadcast; it has at most BROADCAST_ROWS rows, as a key must hold that share of big.
+    sizes: a column of other with the rows of big for each key; without it they are counted.
     """
     if other.count() <= BROADCAST_ROWS:
         return big.join(F.broadcast(other), keys, how)
-    per = max(HOT_ROWS, big.count() // max(BROADCAST_ROWS, 1))
-    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > per)
-    hot = F.broadcast(written(hot.select(*keys, F.ceil(F.col("_n") / per).cast("int").alias("_salts")), "hot"))
+    counted = other.select(*keys, F.col(sizes).alias("_n")) if sizes else big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = other.agg(F.sum(sizes)).first()[0] if sizes else big.count()
+    per = max(HOT_ROWS, rows // max(BROADCAST_ROWS, 1))
+    hot = written(counted.where(F.col("_n") > per).select(*keys, F.ceil(F.col("_n") / per).cast("int").alias("_salts")), "hot")
+    if hot.isEmpty():
+        return big.join(other, keys, how)
+    hot = F.broadcast(hot)
     salts = F.coalesce("_salts", F.lit(1))
     left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*row), salts).cast("int")).drop("_salts")
     right = other.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")

@@ -272,14 +272,14 @@ def near_duplicates(documents: DataFrame, threshold: float = THRESHOLD, shingle:
 
     keys = classes.select("cls", F.explode(F.array(*_bands("sig"))).alias("band"))
     crowded = written(keys.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowded")
-    members = spread_join(keys, crowded, ["band"], ["cls"]).select(F.col("band").alias("g"), "cls", "size")
+    members = spread_join(keys, crowded, ["band"], ["cls"], sizes="size").select(F.col("band").alias("g"), "cls", "size")
     members = members.join(classes.select("cls", "sig"), "cls").select("g", "cls", "size", "sig")
     dealt = block_pairs(members, "g", block).select("g", "left", "right", "cls", "mine", "sig").repartition("g", "left", "right").sortWithinPartitions("g", "left", "right")
     edges = dealt.mapInArrow(_prune(need), "a long, b long")
     near = written(components(edges), "near")
 
     sizes = written(near.groupBy("label").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    inside = spread_join(near, sizes, ["label"], ["node"]).join(classes, F.col("node") == F.col("cls")).select(F.col("label").alias("g"), "cls", "size", "times", "sig", "one")
+    inside = spread_join(near, sizes, ["label"], ["node"], sizes="size").join(classes, F.col("node") == F.col("cls")).select(F.col("label").alias("g"), "cls", "size", "times", "sig", "one")
     inside = written(inside, "inside")
     wanted = inside.select("cls", "one.id", F.col("one.tkey").alias("k"))
     texts = docs.join(wanted, (F.coalesce(docs["doc_id"], F.lit(-(2**63))) == wanted["id"]) & (docs["tkey"] == wanted["k"])).select("cls", "text")

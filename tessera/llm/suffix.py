@@ -35,7 +35,7 @@ LENGTH = 400
 GRAM = 64
 SYMBOL = 100
 PIECE = 1 << 20
-HOT = 2048
+HOT = 512
 #: Passages by words: a passage of 50 words or more that also occurs elsewhere.
 PASSAGE = {"words": True, "length": 50, "gram": 8, "symbol": 10}
 #: Windows of hot anchors that meet in one group.
@@ -310,14 +310,14 @@ def repeat_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, s
     docs = keyed(documents).drop("_row")
     runs = written(docs.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, gram, words), f"{SPAN}, key long, ctx long"), "anchors")
     classes = written(runs.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "tkey", "s", "n")).alias("one")), "classes")
-    copied = written(classes.where("times > 1").select("key", "ctx"), "copied")
-    copies = spread_join(runs, copied, ["key", "ctx"], ["doc_id", "tkey", "s"]).select("doc_id", "tkey", "s", "n")
+    copied = classes.where("times > 1").select("key", "ctx", "times")
+    copies = spread_join(runs, copied, ["key", "ctx"], ["doc_id", "tkey", "s"], sizes="times").select("doc_id", "tkey", "s", "n")
     shared = written(classes.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "shared")
     crowd = shared.where(F.col("kinds") > hot).agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
     parts = max(64, -(-crowd * (length - gram + 1) // MEET))
     salts = F.ceil(F.col("kinds") / hot)
     want = (
-        spread_join(classes, shared, ["key"], ["ctx"])
+        spread_join(classes, shared, ["key"], ["ctx"], sizes="kinds")
         .select("one.doc_id", "one.tkey", F.struct("key", F.pmod("ctx", salts).alias("salt"), "one.s", "one.n", "times", salts.alias("salts")).alias("w"))
         .groupBy("doc_id", "tkey")
         .agg(F.collect_list("w").alias("want"))
