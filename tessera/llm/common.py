@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast only if it was counted and holds at most as much as this many rows of ROW_BYTES, 10 MB.
+BROADCAST_ROWS, ROW_BYTES = 100_000, 100
 #: Rows of one key that one task of a shuffled join may get.
 HOT_ROWS = 1_000_000
 
@@ -40,9 +40,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows allow it; otherwise Spark picks a shuffled join."""
-    return F.broadcast(df) if df.count() <= rows else df
+def fits(df: DataFrame) -> bool:
+    """May a written table of numbers and texts be broadcast, by its counted bytes?"""
+    texts = [F.octet_length(f.name) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    wide = sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(8 * (len(df.columns) - len(texts))))
+    return (df.agg(F.sum(wide.cast("long"))).first()[0] or 0) <= BROADCAST_ROWS * ROW_BYTES
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Mark a written table for broadcast if its counted bytes allow it; otherwise Spark picks a shuffled join."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def spread_join(big: DataFrame, other: DataFrame, keys: list[str], row: list[str], how: str = "inner", sizes: str | None = None) -> DataFrame:
@@ -53,7 +60,7 @@ def spread_join(big: DataFrame, other: DataFrame, keys: list[str], row: list[str
     each. The list of hot keys is broadcast; it has at most BROADCAST_ROWS rows, as a key must hold that share of big.
     sizes: a column of other with the rows of big for each key; without it they are counted.
     """
-    if other.count() <= BROADCAST_ROWS:
+    if fits(other):
         return big.join(F.broadcast(other), keys, how)
     counted = other.select(*keys, F.col(sizes).alias("_n")) if sizes else big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = other.agg(F.sum(sizes)).first()[0] if sizes else big.count()
