@@ -10,7 +10,7 @@ EPSILON = 2.220446049250313e-16
 QT_EPOCH = 2082844800
 NUMBER = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|inf|infinity|nan|INF|NaN|Infinity)\s*$"
 # Brands of formats; those of M4A count as major brands only.
-HEIF_BRANDS = [b"heic", b"heix", b"hevc", b"hevx", b"heim", b"heis", b"mif1", b"msf1", b"avif", b"avis"]
+HEIF_BRANDS = [b"heic", b"heix", b"hevc", b"heim", b"heis", b"mif1", b"msf1", b"avif", b"avis"]
 M4A_BRANDS = [b"M4A ", b"M4B ", b"M4P "]
 MP4_BRANDS = [b"isom", b"iso2", b"mp41", b"mp42", b"avc1", b"M4V ", b"3gp4", b"3gp5", b"3g2a"]
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
+from .operators import display as D
 from .operators import kernel as K
 from .operators import views as V
 from .plans import rules as R
@@ -99,6 +100,36 @@ def kind_mismatch_suppression(spark, sf):
     return f.select("asset_id", F.col("winner.ord").alias("winner_ord"), F.col("winner.value.i").alias("value"), F.col("conflict_note").alias("note"))
 
 
+@query(DAYS + f"""w AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY {FIRST}, ord) rn FROM d)
+SELECT a.asset_id, a.ns || '=' || a.k || ',' || string_agg(b.ns || '=' || b.k, ',' ORDER BY b.ord) sides FROM w a JOIN w b ON a.asset_id = b.asset_id WHERE a.rn = 1 AND b.ord <> a.ord AND b.k <> a.k GROUP BY a.asset_id, a.ns, a.k""")
+def conflict_sides(spark, sf):
+    assets = K.gathered(days(spark, sf))
+    found = K.spread(assets, K.policy(K.reconciled(F.col("es"), rule(["purchase"]))))
+    said = F.transform("sources", lambda e: F.concat(e["namespace"], F.lit("="), F.coalesce(e["value"]["s"], e["value"]["i"].cast("string"))))
+    return found.select("asset_id", F.array_join(said, ",").alias("sides"))
+
+
+@query(DIFF + """SELECT asset_id, concat_ws(' | ', CASE WHEN n_differing > 0 THEN 'selected Event from ' || CASE ns WHEN 'purchase' THEN 'icc' ELSE ns END || ' over ' || competing || ' competing candidate(s)' END,
+ CASE WHEN ns = 'purchase' THEN 'selected bounded ICC metadata as authoritative color-profile source' END) notes FROM p""")
+def icc_note(spark, sf):
+    e = days(spark, sf).withColumn("namespace", F.when(F.col("namespace") == "purchase", "icc").otherwise(F.col("namespace")))
+    return K.reconcile(e, [("color.space", "any", ["Event"], ["icc"])]).select("asset_id", F.array_join("notes", " | ").alias("notes"))
+
+
+@query("""WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) k FROM events), c(chooser, kinds) AS (VALUES ('string', [0, 1]), ('timestamp', [0, 1]), ('integer', [2]), ('float', [3]), ('rational', [4]), ('float_like', [2, 3, 4]), ('any', [0, 1, 2, 3, 4, 5]))
+SELECT event_id asset_id, chooser AS field FROM e JOIN c ON list_contains(kinds, CAST(k % 6 AS INTEGER)) AND NOT (chooser = 'float_like' AND k % 12 = 4)""")
+def chooser_kinds(spark, sf):
+    """Which choosers accept a value of each kind; a rational over 0 is no number."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("asset_id"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    case = F.col("k") % 6
+    kind = F.element_at(F.array(*map(F.lit, ("string", "timestamp", "integer", "float", "rational", "bytes"))), (case + 1).cast("int"))
+    ratio = F.struct(F.col("k").alias("numerator"), F.when(F.col("k") % 12 == 4, 0).otherwise(1).cast("bigint").alias("denominator"))
+    v = value(kind, F.when(case < 2, F.col("k")), F.when(case == 2, F.col("k")), F.when(case == 3, F.col("k"))).withField("r", F.when(case == 4, ratio)).withField("b", F.when(case == 5, F.lit(b"x")))
+    rows = e.select("asset_id", F.lit(0).alias("ord"), F.lit("x").alias("namespace"), F.lit("Event").alias("tag_name"), v.alias("value"))
+    choosers = ("string", "timestamp", "integer", "float", "rational", "float_like", "any")
+    return K.reconcile(rows, [(c, c, ["Event"], ["x"]) for c in choosers]).select("asset_id", "field")
+
+
 @query(DAYS + "f AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY ord) rn FROM d) SELECT asset_id, CASE WHEN k % 2 = 0 THEN k END AS value FROM f WHERE rn = 1")
 def first_by_tag_kind(spark, sf):
     f = K.first_by_tag(days(spark, sf), {"e": ("Event",)})
@@ -324,10 +355,42 @@ def view_projection_json(spark, sf):
     return text.select("asset_id", size("$.raw.metadata").alias("n_raw"), size("$.normalized.fields").alias("n_normalized"))
 
 
-@query("SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'flac' WHEN 3 THEN 'ogg' WHEN 4 THEN 'mov' END format FROM documents")
+# Leading bytes and the format they tell, as text; a brand stands first, or last among others.
+HEADS = """jpeg FFD8
+png 89504E470D0A1A0A
+tiff 49492A00
+tiff 4D4D002A
+webp 524946460000000057454250
+flac 664C6143
+aiff 464F524D0000000041494646
+aiff 464F524D0000000041494643
+ogg 4F676753
+none 524946460000000057415645
+none 6E6F6E65"""
+BRANDS = """heif major mif1 msf1 heic heix hevc heim heis avif avis
+heif other mif1 msf1 heic heix hevc heim heis avif avis
+mov major qt
+none other qt
+m4a major M4A M4B M4P
+none other M4A M4B M4P
+mp4 major isom iso2 mp41 mp42 avc1 M4V 3gp4 3gp5 3g2a
+mp4 other isom iso2 mp41 mp42 avc1 M4V 3gp4 3gp5 3g2a
+none major hevx jpeg"""
+
+
+def _heads():
+    """(format, bytes) of each signature and brand."""
+    out = [(name, bytes.fromhex(h)) for name, h in (line.split() for line in HEADS.split("\n"))]
+    for name, where, *brands in (line.split() for line in BRANDS.split("\n")):
+        for b in (x.ljust(4).encode() for x in brands):
+            out.append((name, b"\0\0\0\x18ftyp" + (b + b"\0\0\0\0zzzzzzzz" if where == "major" else b"zzzz\0\0\0\0zzzz" + b)))
+    return out
+
+
+@query("SELECT doc_id, CASE doc_id % " + str(len(_heads())) + " " + " ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(_heads()) if name != "none") + " END format FROM documents")
 def magic_detect(spark, sf):
-    heads = [b"\xff\xd8", b"\x89PNG\r\n\x1a\n", b"fLaC", b"OggS", b"\0\0\0\x14ftypqt  \0\0\0\0qt  ", b"none"]
-    head = F.element_at(F.array(*(F.lit(h) for h in heads)), (F.col("doc_id") % 6 + 1).cast("int"))
+    heads = [h for _, h in _heads()]
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % len(heads) + 1).cast("int"))
     return table(spark, sf, "documents").select("doc_id", S.detect_format(F.concat(head, F.col("text").cast("binary"))).alias("format"))
 
 
@@ -452,3 +515,180 @@ def media_report_synth(spark, sf):
     """Formats, statuses, issues and conflicts of the same samples."""
     names = lambda a, k: F.nullif(F.array_join(F.transform(a, lambda x: x[k]), ","), F.lit(""))
     return _analysed(spark).select("path", F.col("detected_format").alias("format"), "status", names("report.issues", "code").alias("issues"), names("report.conflicts", "field").alias("conflicts"))
+
+
+# Expected titles, labels and texts of a photo's and a clip's fields, tab-separated.
+DISPLAY = {
+    "gps.jpg": """General	Captured At	Apr 16, 2024 · 12:34:56
+General	Created At	Apr 16, 2024 · 12:34:56
+General	Modified At	Apr 16, 2024 · 12:34:56
+General	Software	SampleGen
+General	Orientation	1
+Device	Device · Make	SampleCam
+Device	Device · Model	One
+Dimensions	Dimensions · Width	800
+Dimensions	Dimensions · Height	600
+Exposure	Exposure · Iso	200
+Exposure	Exposure · Aperture	f/5.6
+Exposure	Exposure · Shutter Speed	1/250s
+Exposure	Exposure · Focal Length Mm	50 mm
+Lens	Lens · Model	Sample 50mm F2
+Location	Location	40.4462° N, 79.9821° W""",
+    "song.opus": """General	Duration	1
+Media	Codec · Audio	opus
+Media	Audio · Channels	2
+Media	Audio · Sample Rate	48000""",
+}
+
+
+@query(_values(((path, *line.split("\t")) for path, said in DISPLAY.items() for line in said.split("\n")), "path, title, label, value"))
+def display_synth(spark, sf):
+    """Fields of two samples as text to read."""
+    return D.pretty(_analysed(spark)).where(F.col("path").isin(*DISPLAY)).select("path", "title", "label", "value")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%b ') || day(o_orderdate) || strftime(o_orderdate, ', %Y · %H:%M:%S') || CASE WHEN o_orderkey % 2 = 0 THEN ' Z' ELSE '' END AS moment, format('{:,}', o_orderkey) || ' bps' AS bitrate,
+ 'f/' || format('{:.1f}', o_custkey / 10.0) AS aperture, regexp_replace(format('{:.3f}', o_custkey / 8.0), '\\.?0+$', '') AS ratio,
+ o_custkey % 90 || '° N, ' || regexp_replace(format('{:.6f}', (o_orderkey % 180 + 0.25)), '\\.?0+$', '') || '° W' AS place FROM orders WHERE o_custkey > 0""")
+def display_text(spark, sf):
+    """Times, numbers with units, rationals and coordinates as text."""
+    o = table(spark, sf, "orders").where("o_custkey > 0")
+    ratio = lambda d: value(F.lit("rational")).withField("r", F.struct(F.col("o_custkey").cast("bigint").alias("numerator"), F.lit(d).cast("bigint").alias("denominator")))
+    time = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.col("o_orderkey") % 2 == 0, "Z").otherwise(""))
+    at = F.struct((F.col("o_custkey") % 90).cast("double").alias("latitude"), (-(F.col("o_orderkey") % 180 + 0.25)).cast("double").alias("longitude"))
+    parts = {"moment": ("captured_at", value(F.lit("timestamp"), time)), "bitrate": ("video.bitrate", value(F.lit("integer"), i=F.col("o_orderkey"))), "aperture": ("exposure.aperture", ratio(10)), "ratio": ("other", ratio(8)), "place": ("location", value(F.lit("coordinates")).withField("c", at))}
+    return o.select("o_orderkey", *(D.shown(F.lit(name), v).alias(c) for c, (name, v) in parts.items()))
+
+
+@query(_values(((p, f, s) for p, f, s, _, _ in ([None if x == "-" else x for x in line.split()] for line in OUTCOMES.split("\n"))), "path, format, status"))
+def decode_media_sql(spark, sf):
+    """The table function in SQL, over the samples."""
+    from .sources import facade, samples
+
+    facade.register(spark)
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in samples.all_samples().items()], "path string, content binary")
+    return spark.sql("SELECT a.path, m.detected_format AS format, m.status FROM {assets} a, LATERAL decode_media(a.content) m", assets=df)
+
+
+# Expected raw entries of the samples, as text: namespace, tag, kind, JSON of the value. Offsets follow from the directories' sizes.
+CAMERA = """exif ImageWidth integer 800
+exif ImageHeight integer 600
+exif Make string "SampleCam"
+exif Model string "One"
+exif Orientation integer 1
+exif Software string "SampleGen"
+exif ModifyDate timestamp "2024:04:16 12:34:56"
+exif ExposureTime rational {"numerator":1,"denominator":250}
+exif FNumber rational {"numerator":56,"denominator":10}
+exif ISO integer 200
+exif DateTimeOriginal timestamp "2024:04:16 12:34:56"
+exif CreateDate timestamp "2024:04:16 12:34:56"
+exif FocalLength rational {"numerator":50,"denominator":1}
+exif LensModel string "Sample 50mm F2"
+"""
+PLAIN = CAMERA + """exif ExifOffset integer 110
+"""
+GPS = """exif ExifOffset integer 122
+exif GPSInfo integer 212
+exif GPSLatitudeRef string "N"
+exif GPSLatitude rational_list [{"numerator":40,"denominator":1},{"numerator":26,"denominator":1},{"numerator":4632,"denominator":100}]
+exif GPSLongitudeRef string "W"
+exif GPSLongitude rational_list [{"numerator":79,"denominator":1},{"numerator":58,"denominator":1},{"numerator":5556,"denominator":100}]"""
+ICC = """icc ProfileClass string "display"
+icc ColorSpace string "RGB"
+icc ConnectionSpace string "XYZ"
+icc DeviceManufacturer string "SMPL"
+icc DeviceModel string "TEST"
+icc ProfileDescription string "Sample RGB"
+"""
+XMP = """xmp CreateDate string "2024-04-16T12:34:56"
+xmp Model string "Two"
+xmp Author string "K & Co"
+"""
+TRACKS = """quicktime ImageWidth integer 1920
+quicktime ImageHeight integer 1080
+quicktime DurationSeconds float 12.0
+quicktime VideoCodec string "avc1"
+quicktime AudioCodec string "mp4a"
+quicktime VideoFrameRate float 23.976023976023978
+quicktime VideoBitrate integer 24000000
+quicktime AudioChannels integer 2
+quicktime AudioSampleRate integer 48000
+quicktime CreateDate timestamp "2024-04-16T12:34:56"
+quicktime ModifyDate timestamp "2024-04-16T12:34:56"
+"""
+VENDOR = """vorbis_comment Vendor string "sample"
+"""
+ENTRIES = {
+    "plain.jpg": PLAIN,
+    "gps.jpg": CAMERA + GPS,
+    "rich.jpg": PLAIN + ICC + XMP + """iptc Headline string "Head"
+iptc Author string "Kai"
+iptc Keywords string "sea"
+iptc Keywords string "sky"
+xmp ImageWidth integer 640
+xmp Keywords string "a"
+xmp Keywords string "b\"""",
+    "big.tif": PLAIN,
+    "raw.dng": """exif ImageWidth integer 800
+exif ImageHeight integer 600
+exif Make string "RawCam"
+exif ExifOffset integer 74
+exif UnknownTag bytes [1,4,0,0]
+exif ISO integer 400""",
+    "mixed.png": PLAIN + XMP + ICC,
+    "both.webp": XMP + PLAIN,
+    "still.heic": PLAIN + "heif ImageWidth integer 320\nheif ImageHeight integer 240",
+    "clip.mp4": TRACKS + """quicktime GPSLatitude float 40.7922
+quicktime GPSLongitude float -73.9584
+dji FlightYawDegree float 175.5
+dji Model string "FC3682\"""",
+    "clip.mov": TRACKS,
+    "song.m4a": TRACKS + """quicktime Title string "Song"
+quicktime Author string "Kai"
+itunes Title string "Song"
+itunes Artist string "Kai"
+itunes TrackNumber string "3/7"
+itunes Compilation integer 1""",
+    "song.flac": VENDOR + """flac AudioSampleRate integer 44100
+flac AudioChannels integer 2
+flac AudioBitDepth integer 16
+flac DurationSeconds float 1.0
+vorbis_comment Title string "Song"
+vorbis_comment MOOD string "calm\"""",
+    "song.aiff": """aiff AudioSampleRate integer 44100
+aiff AudioChannels integer 2
+aiff AudioBitDepth integer 16
+aiff DurationSeconds float 1.0""",
+    "song.ogg": VENDOR + """ogg AudioSampleRate integer 44100
+ogg AudioChannels integer 2
+ogg AudioBitDepth integer 16
+ogg AudioCodec string "vorbis"
+ogg DurationSeconds float 1.0
+vorbis_comment Artist string "Me"
+vorbis_comment X string "LONG\"""".replace("LONG", "y" * 600),
+    "song.opus": VENDOR + """ogg AudioSampleRate integer 48000
+ogg AudioChannels integer 2
+ogg AudioCodec string "opus"
+ogg OpusInputSampleRate integer 44100
+ogg DurationSeconds float 1.0
+vorbis_comment Title string "Opus\"""",
+}
+
+
+def _entries():
+    for path, said in ENTRIES.items():
+        for line in said.strip().split("\n"):
+            namespace, tag, kind, v = line.split(" ", 3)
+            yield path, namespace, tag, f'{{"kind":"{kind}","value":{v}}}'
+
+
+@query(_values(_entries(), "path, namespace, tag_name, value"))
+def entry_decode_synth(spark, sf):
+    """Raw entries of the samples; interpreted metadata is the same."""
+    from .sources import assets, samples
+
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in samples.all_samples().items()], "path string, content binary")
+    full = V.analysis(assets.decode_assets(assets.memory_assets(df)), "interpreted")
+    e = full.select("path", F.explode("interpreted.metadata").alias("e"))
+    return e.select("path", "e.namespace", "e.tag_name", V.tagged(F.col("e.value")).alias("value"))

@@ -21,7 +21,7 @@ QUICKTIME_TEXT = {"©ART": "Author", "©too": "Software", "©nam": "Title"}
 UDTA_DJI = {"©fpt": "FlightPitchDegree", "©fyw": "FlightYawDegree", "©frl": "FlightRollDegree", "©gpt": "GimbalPitchDegree", "©gyw": "GimbalYawDegree", "©grl": "GimbalRollDegree", "©xsp": "SpeedX", "©ysp": "SpeedY", "©zsp": "SpeedZ"}
 UDTA_DJI_TEXT = {"©mdl": "Model", "©csn": "SerialNumber"}
 UDTA_KEYS = {*UDTA_DJI, *UDTA_DJI_TEXT, "©xyz"}
-BRANDS = (b"heic", b"heix", b"hevc", b"hevx", b"heim", b"heis", b"mif1", b"msf1", b"avif", b"avis", b"isom", b"iso2", b"mp41", b"mp42", b"avc1", b"qt  ", b"M4A ", b"M4B ", b"M4P ")
+BRANDS = (b"heic", b"heix", b"hevc", b"heim", b"heis", b"mif1", b"msf1", b"avif", b"avis", b"isom", b"iso2", b"mp41", b"mp42", b"avc1", b"qt  ", b"M4A ", b"M4B ", b"M4P ")
 # What items and boxes of a content type hold.
 MIMES = {b"application/rdf+xml": "xmp", b"application/xml": "xmp", b"text/xml": "xmp", b"application/x-iptc": "iptc"}
 
