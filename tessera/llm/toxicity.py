@@ -12,9 +12,9 @@ A text is scored by its log-likelihood ratio, normalised by its length: the whol
 marked words, both taken above the text's middle word (which stands for its language and subject). A logistic
 curve, fitted on labelled rows that the counts have not seen, turns the two into a score.
 
-Bounds: the models are fitted on at most `sample` labelled rows of each class (those first by a hash of their id); words
-and beginnings fall into 2**18 buckets each by hash, and the discount of bigrams is raised until at most 2**20 of them remain. So
-the model has a fixed size and is broadcast. Every text is scored whole.
+Size: the models are fitted on all labelled rows and keep every bigram that the discount leaves, at any size of the input. Words and
+beginnings fall into 2**18 buckets each by hash, a bigram takes 24 bytes; the model is broadcast. Labelled texts move only if the labels
+are too many to broadcast or a doc_id has several rows; each fact moves once. Every text is scored whole.
 
 Edge cases: a null or wordless text has ratio 0 and the score that belongs to it; labels that are null or without a
 document are not used, several labels of one document count as their greatest, of several texts of one doc_id the least is learned from; without labels of both classes all
@@ -30,15 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, crc_mod, keyed, same_row, word_groups, written
+from .common import ALNUM, crc_mod, keyed, same_row, small, spread_join, word_groups, written
 
-SAMPLE = 50_000
 BITS = 18
 SIZE = 1 << BITS
 PREFIX = 4
 DISCOUNT = 2.0
 PAIR_DISCOUNT = 3.0
-PAIRS = 1 << 20
 CLEAR = 2.0
 FOLDS, HELD = 4, 2
 START = 0
@@ -142,7 +140,7 @@ def fit_pairs(model: Model, keys: np.ndarray, shares: np.ndarray) -> Model:
     return model
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray | None:
+def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
     """Logistic curve by Newton steps with a small ridge: intercept, slopes, scales."""
     if not len(y) or y.min() == y.max():
         return None
@@ -151,8 +149,8 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray |
     b, ridge = np.zeros(a.shape[1]), np.diag([1e-6] + [1e-2] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        g = a.T @ (weight * (y - p)) - ridge @ b
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + ridge
+        g = a.T @ (y - p) - ridge @ b
+        h = (a * (p * (1 - p))[:, None]).T @ a + ridge
         step = np.linalg.solve(h, g)
         b = b + step * min(1.0, 5 / max(np.abs(step).max(), 1e-12))
         if np.abs(step).max() < 1e-8:
@@ -161,7 +159,9 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray |
 
 
 def _count(batches):
-    """Different facts of labelled texts as longs: (word before, word, word before that, class), and negative ones (word, beginning)."""
+    """Different facts of labelled texts as longs: (word before, word, word before that, class), and negative ones (word, beginning).
+
+    Shifted by BITS + 1 they are (word before, word), and the negative ones -1 less (word, beginning)."""
 
     def flush(rows):
         return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(rows)))], ["fact"])
@@ -172,7 +172,7 @@ def _count(batches):
         for a, w, p, off in word_rows(batch.column(0)):
             c = np.repeat(label[a : a + len(off) - 1], np.diff(off))
             v = before(w, off)
-            rows += [(((((v << BITS) | w) << BITS) | before(v, off)) << 1) | c, np.unique(-1 - ((w << BITS) | p))]
+            rows += [(((((v << BITS) | w) << BITS) | before(v, off)) << 1) | c, np.unique(-1 - (((w << BITS) | p) << (BITS + 1)))]
             size += len(w)
             if size > 2_000_000:
                 yield flush(rows)
@@ -191,29 +191,32 @@ def _features(model):
     return run
 
 
-def labelled(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE):
-    """text, toxic and fold of the sampled labelled documents outside the held-out fold, and how many of each class there are."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic")).where("label_id is not null and toxic in (0, 1)")
-    marks = marks.groupBy("label_id").agg(F.max("toxic").alias("toxic")).where(crc_mod("label_id", folds) != held)
+def labelled(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD):
+    """text, toxic and curve (a fifth, for the curve) of all labelled documents outside the held-out fold, and how many labels of each class there are."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    marks = written(marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(crc_mod("doc_id", folds) != held), "marks")
     sizes = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
-    take = [marks.where(F.col("toxic") == c).orderBy(F.xxhash64("label_id"), "label_id").limit(sample) for c in (0, 1)]
-    chosen = F.broadcast(take[0].unionByName(take[1]))  # at most 2 * sample rows
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, F.col("doc_id") == F.col("label_id"))
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # an id may hold a large share of the rows
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    several = written(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+    rows = spread_join(docs, marks, ["doc_id"], ["text"])
+    one = rows.join(small(several), "doc_id", "left_anti")
+    least = rows.join(small(several), "doc_id", "left_semi").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # an id may hold a large share of the rows
+    rows = one.select("doc_id", "text", "toxic").unionByName(least)
     return rows.select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 0).alias("curve")), sizes
 
 
-def train(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> Model:
-    rows, sizes = labelled(documents, labels, folds, held, sample)
+def train(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD) -> Model:
+    rows, _ = labelled(documents, labels, folds, held)
     rows = written(rows, "labelled")
-    facts = written(rows.where("not curve").select("text", "toxic").mapInArrow(_count, "fact long").distinct(), "facts")
-    toxic = F.col("fact").bitwiseAND(1)
-    pairs = facts.where("fact >= 0").groupBy(F.shiftright("fact", BITS + 1).alias("pair")).agg(F.count_if(toxic == 0).alias("n0"), F.count_if(toxic == 1).alias("n1"))
-    pairs = written(pairs.select("pair", F.shiftright("pair", BITS).alias("v"), F.col("pair").bitwiseAND(SIZE - 1).alias("w"), "n0", "n1"), "pairs")
+    pair, toxic = F.shiftright("fact", BITS + 1), F.col("fact").bitwiseAND(1)
+    facts = rows.where("not curve").select("text", "toxic").mapInArrow(_count, "fact long").repartition(pair)
+    facts = facts.select(pair.alias("pair"), "fact").distinct()
+    counted = written(facts.groupBy("pair").agg(F.count_if(toxic == 0).alias("n0"), F.count_if(toxic == 1).alias("n1")), "pairs")
+    pairs = counted.where("pair >= 0").select("pair", F.shiftright("pair", BITS).alias("v"), F.col("pair").bitwiseAND(SIZE - 1).alias("w"), "n0", "n1")
     counts = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
     words = written(pairs.groupBy("w").agg(F.count(F.lit(1)).alias("kinds"), *counts), "words")  # at most SIZE rows, as all that follow
     after = written(pairs.groupBy("v").agg(*counts), "after")
-    heads = facts.where("fact < 0").select(F.shiftright(-F.col("fact") - 1, BITS).alias("w"), (-F.col("fact") - 1).bitwiseAND(SIZE - 1).alias("p"))
+    heads = counted.where("pair < 0").select(F.shiftright(-F.col("pair") - 1, BITS).alias("w"), (-F.col("pair") - 1).bitwiseAND(SIZE - 1).alias("p"))
     heads = heads.join(words, "w").groupBy("p").agg(F.count(F.lit(1)).alias("kinds"), *counts, F.sum(F.col("kinds") + 0.5).alias("within"))
 
     def arrays(frame, at, *names):
@@ -226,21 +229,15 @@ def train(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int
     model = fit_counts(w[1:], w[0], h[1:3], h[0], h[3])
 
     totals = after.select(F.col("v"), F.col("n0").alias("t0"), F.col("n1").alias("t1")).where("t0 > 0 and t1 > 0")
-    less = F.least("t0", "t1")
-    known = pairs.join(F.broadcast(totals), "v").select("pair", less.alias("least"), (F.col("n0") / F.col("t0")).alias("s0"), (F.col("n1") / F.col("t1")).alias("s1"))
-    known = known.withColumn("strength", F.greatest("s0", "s1") * F.col("least")).where(F.col("strength") > PAIR_DISCOUNT)
-    discount, n = PAIR_DISCOUNT, known.count()
-    if n > PAIRS:
-        discount = known.approxQuantile("strength", [1 - 0.9 * PAIRS / n], 0.01 * PAIRS / n)[0]
-    cut = lambda c: F.greatest(F.col(c) - discount / F.col("least"), F.lit(0.0)).alias(c)
-    found = known.where(F.col("strength") > discount).select("pair", cut("s0"), cut("s1")).toPandas()
+    cut = lambda c: F.greatest(F.col(c) - PAIR_DISCOUNT / F.col("least"), F.lit(0.0)).alias(c)
+    known = pairs.join(F.broadcast(totals), "v").select("pair", F.least("t0", "t1").alias("least"), (F.col("n0") / F.col("t0")).alias("s0"), (F.col("n1") / F.col("t1")).alias("s1"))
+    found = known.where(F.greatest("s0", "s1") * F.col("least") > PAIR_DISCOUNT).select("pair", cut("s0"), cut("s1")).toPandas()
     model = fit_pairs(model, found["pair"].to_numpy(np.int64), found[["s0", "s1"]].to_numpy(float).T)
 
     sent = documents.sparkSession.sparkContext.broadcast(model)
     x = rows.where("curve").select("text", "toxic").mapInArrow(_features(sent), "toxic int, a double, b double").toPandas()
     y = x.toxic.to_numpy(float)
-    share = np.array([sizes.get(c, 0) / max(1, min(sizes.get(c, 0), sample)) for c in (0, 1)])
-    model.curve = fit_curve(x[["a", "b"]].to_numpy(float), y, share[y.astype(int)])
+    model.curve = fit_curve(x[["a", "b"]].to_numpy(float), y)
     return model
 
 
@@ -255,9 +252,9 @@ def _score(model, schema):
     return run
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD, sample: int = SAMPLE) -> DataFrame:
+def toxicity(documents: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD) -> DataFrame:
     """doc_id, tkey, held_out, score (0 to 1) and ratio (the length-normalised log-likelihood ratio) of each document."""
-    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, folds, held, sample))
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels, folds, held))
     docs = keyed(documents).drop("_row")
     out = docs.mapInArrow(_score(model, ["doc_id", "tkey", "score", "ratio"]), "doc_id long, tkey long, score double, ratio double")
     return out.select("doc_id", "tkey", (crc_mod("doc_id", folds) == held).alias("held_out"), "score", "ratio")
