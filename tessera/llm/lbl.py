@@ -16,7 +16,7 @@ CONTEXT = 3
 DIMENSION = 16
 #: Noise draws a batch for classes, and a token for items.
 CLASS_NOISE, ITEM_NOISE = 48, 1
-BATCH = 4096
+BATCH = 1024
 RATE = 0.05
 NAMES = ("R", "A", "Q", "C")
 
@@ -49,13 +49,6 @@ class Net:
         self.dimension = dimension
         self.squares = {k: np.full(len(getattr(self, k)), 1e-2, np.float32) for k in NAMES}
 
-    def copy(self) -> Net:
-        out = object.__new__(Net)
-        out.dimension, out.squares = self.dimension, {k: x.copy() for k, x in self.squares.items()}
-        for k in NAMES:
-            setattr(out, k, getattr(self, k).copy())
-        return out
-
     def tables(self) -> list[np.ndarray]:
         """Context vectors times the matrix of each position; their last columns add up to 1, for the biases."""
         last = np.full((len(self.R), 1), 1 / CONTEXT, np.float32)
@@ -82,10 +75,8 @@ def _sigmoid(x):
 class Trainer:
     """Noise-contrastive estimation by Adagrad over batches; uses counts how often each row was trained."""
 
-    def __init__(self, net: Net, layout: Layout, seed: int, rate: float = RATE, inputs: bool = True):
-        """inputs: learn context vectors and position matrices too, not the outputs only."""
-        self.net, self.layout, self.rate, self.inputs = net, layout, rate, inputs
-        self.tables = None if inputs else net.tables()
+    def __init__(self, net: Net, layout: Layout, seed: int, rate: float = RATE, size: int = BATCH):
+        self.net, self.layout, self.rate, self.size = net, layout, rate, size
         self.rng = np.random.default_rng(seed)
         self.uses = {k: np.zeros(len(getattr(net, k))) for k in NAMES}
         self.class_sums = layout.sums[layout.first]
@@ -106,12 +97,9 @@ class Trainer:
 
     def batch(self, ctx: np.ndarray, item: np.ndarray) -> None:
         net, lay, n, d = self.net, self.layout, len(item), self.net.dimension
-        if self.inputs:
-            vectors = [net.R[ctx[:, k]] for k in range(CONTEXT)]
-            h = np.ones((n, d + 1), np.float32)
-            h[:, :d] = sum(v @ net.position(k) for k, v in enumerate(vectors))
-        else:
-            h = sum(t[ctx[:, k]] for k, t in enumerate(self.tables))
+        vectors = [net.R[ctx[:, k]] for k in range(CONTEXT)]
+        h = np.ones((n, d + 1), np.float32)
+        h[:, :d] = sum(v @ net.position(k) for k, v in enumerate(vectors))
         cls = lay.class_of[item]
 
         # Classes: the draws are shared by the batch.
@@ -131,8 +119,6 @@ class Trainer:
         g[:, 0] += 1
         self._step("Q", ids.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, d + 1))
         self._step("A", np.concatenate([cls, drawn]), np.concatenate([good[:, None] * h, bad.T @ h]))
-        if not self.inputs:
-            return
         back = (good[:, None] * A + bad @ N + np.einsum("nk,nkd->nd", g, Q))[:, :d]
         turned = np.concatenate([v.T @ back for v in vectors]) / np.float32(np.sqrt(n))
         self._step("R", ctx.T.ravel(), np.concatenate([back @ net.position(k).T for k in range(CONTEXT)]))
@@ -141,9 +127,8 @@ class Trainer:
     def texts(self, items: np.ndarray, off: np.ndarray, end: int) -> None:
         ctx = contexts(items, off, end)
         order = self.rng.permutation(len(items))
-        size = min(BATCH, max(128, len(order) // 64))  # few tokens are dealt to smaller batches
-        for a in range(0, len(order), size):
-            self.batch(ctx[order[a : a + size]], items[order[a : a + size]])
+        for a in range(0, len(order), self.size):
+            self.batch(ctx[order[a : a + self.size]], items[order[a : a + self.size]])
 
 
 class Scorer:

@@ -4,13 +4,10 @@ Tokens are lower-cased words between white space and one end a text. Counts of a
 The model (see lbl) predicts each token from the three before it. Its items are the `own` most frequent words, one item for
 the other words of each of 256 classes, and the end; a word's class is a hash of its last two bytes, the end is a class.
 Class and item in the class are log-bilinear and normalised; a word that shares an item follows its smoothed count there.
-The number of own words grows with the cube root of the training tokens: 1024 up to a million, 4300 at 75 million.
 
-Training: each partition runs noise-contrastive estimation over all its training texts, from the same start; what the
-partitions learn (with the squared gradients that set the pace) is averaged, each row weighted by how often it was trained. A pass takes an eighth of the texts, dealt by a
-hash, the next one the rest; below `TOKENS` training tokens all texts take part in either, and the two are repeated. The
-first trains all of the model, the other, which settles the outputs, leaves context vectors as they are. So every
-training text is learned from.
+Training is the same at any size of the input: one pass over all training texts, in which every text trains all of the
+model. Each partition (of `LEARNER` tokens at least, on average) runs noise-contrastive estimation over its texts from the same start, in batches
+of `TOKENS`; what the partitions learn is averaged, each row weighted by how often it was trained.
 
 Bounds: what is broadcast or sent to the driver is the `common` (or `own`, if more) most frequent counts and the model, about 40 numbers an item.
 Counts of all other words stay in a table; texts list them, and meet them in a shuffled join. Learners' models
@@ -32,12 +29,11 @@ from pyspark.sql import functions as F
 from . import lbl
 from .common import UNSPACED, crc_mod, word_groups, written
 
-OWN, TAILS = 1024, 256
+OWN, TAILS = 4096, 256
 COMMON = 1 << 16
 FOLDS, HELD = 7, 2
-#: Tokens that training sees at least, and that make a learner.
-TOKENS, LEARNER = 4_000_000, 1_000_000
-PASSES = 6
+#: Tokens of a batch, and that make a learner.
+TOKENS, LEARNER = lbl.BATCH, 1_000_000
 FAN = 64
 BLOCK = 1024
 
@@ -98,16 +94,15 @@ class Vocabulary:
 LEARNED = "name string, block int, part long, uses binary, rows binary"
 
 
-def _learn(model, seed, inputs):
+def _learn(sent, size):
     def run(batches):
-        vocabulary, net = model.value
-        part = TaskContext.get().partitionId()
-        trainer = lbl.Trainer(net.copy(), vocabulary.layout, seed * 1_000_003 + part, inputs=inputs)
+        vocabulary, part = sent.value, TaskContext.get().partitionId()
+        trainer = lbl.Trainer(lbl.Net(vocabulary.layout), vocabulary.layout, part, size=size)
         for batch in batches:
             for _, h, off, tail, _ in word_groups(batch.column(0), UNSPACED):
                 trainer.texts(*vocabulary.texts(vocabulary.look(h, tail)[0], off), vocabulary.end)
         for name in lbl.NAMES:
-            rows, uses = np.concatenate([getattr(trainer.net, name), trainer.net.squares[name][:, None]], axis=1), trainer.uses[name]
+            rows, uses = getattr(trainer.net, name), trainer.uses[name]
             for k in range(0, len(rows), BLOCK):
                 if uses[k : k + BLOCK].any():
                     yield pa.RecordBatch.from_pydict({"name": [name], "block": pa.array([k // BLOCK], pa.int32()), "part": [part], "uses": [uses[k : k + BLOCK].tobytes()], "rows": [rows[k : k + BLOCK].tobytes()]})
@@ -128,23 +123,15 @@ def _average(pdf):
 
 
 def train(texts: DataFrame, vocabulary: Vocabulary, tokens: int) -> lbl.Net:
-    """texts: text, and early (whether the first pass takes it)."""
-    sc = texts.sparkSession.sparkContext
     net = lbl.Net(vocabulary.layout)
-    learners = max(1, tokens // LEARNER)
-    for k in range(min(PASSES, 1 + -(-TOKENS // tokens)) if tokens else 0):
-        model = sc.broadcast((vocabulary, net))
-        rows = texts if tokens < TOKENS else texts.where("early" if k % 2 == 0 else "not early")
-        rows = rows.select("text").coalesce(learners)
-        found, parts = rows.mapInArrow(_learn(model, k, k % 2 == 0), LEARNED), learners
-        while parts > FAN:
-            found, parts = found.groupBy("name", "block", F.floor(F.col("part") / FAN)).applyInPandas(_average, LEARNED), -(-parts // FAN)
-        for r in found.groupBy("name", "block").applyInPandas(_average, LEARNED).collect():  # the model's blocks
-            at = np.flatnonzero(np.frombuffer(r.uses, np.float64) > 0)
-            rows = np.frombuffer(r.rows, np.float32).reshape(-1, getattr(net, r.name).shape[1] + 1)[at]
-            at += r.block * BLOCK
-            getattr(net, r.name)[at], net.squares[r.name][at] = rows[:, :-1], rows[:, -1]
-        model.unpersist()
+    sent, parts = texts.sparkSession.sparkContext.broadcast(vocabulary), max(1, tokens // LEARNER)
+    found = texts.select("text").coalesce(parts).mapInArrow(_learn(sent, TOKENS), LEARNED)
+    while parts > FAN:
+        found, parts = found.groupBy("name", "block", F.floor(F.col("part") / FAN)).applyInPandas(_average, LEARNED), -(-parts // FAN)
+    for r in found.groupBy("name", "block").applyInPandas(_average, LEARNED).collect():  # the model's blocks
+        at = np.flatnonzero(np.frombuffer(r.uses, np.float64) > 0)
+        rows = getattr(net, r.name)
+        rows[at + r.block * BLOCK] = np.frombuffer(r.rows, np.float32).reshape(-1, rows.shape[1])[at]
     return net
 
 
@@ -193,7 +180,6 @@ def score_documents(documents: DataFrame, folds: int = FOLDS, held: int = HELD,
     ends = training.count()
     words, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, size = words + ends, kinds + (ends > 0)
-    own = int(own * max(1.0, total / 1e6) ** (1 / 3))
     top = counts.orderBy(F.desc("n"), "h").limit(max(common, own)).select("h", "tail", "n").toArrow()
     hashes, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
 
@@ -205,7 +191,7 @@ def score_documents(documents: DataFrame, folds: int = FOLDS, held: int = HELD,
     inside = np.log10(by_tail.sum(axis=0) + 1)
 
     vocabulary = Vocabulary(hashes, n, tails, own, by_tail[0], ends)
-    net = train(training.select("text", (F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0).alias("early")), vocabulary, total)
+    net = train(training, vocabulary, total)
     model = spark.sparkContext.broadcast((vocabulary, net, inside, ends))
     base = written(docs.mapInArrow(_score(model), "rid long, doc_id long, n_tokens long, known long, logs double, score double, h array<long>, n array<int>"), "scored")
     rare = base.select("rid", F.explode(F.arrays_zip("h", "n")).alias("x")).select("rid", F.col("x.h").alias("h"), F.col("x.n").alias("times"))
