@@ -18,7 +18,7 @@ def query(f):
 
 @query
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.suffix_dedup(table(spark, sf_dir, "documents")).drop("runs")
+    return suffix.suffix_dedup(table(spark, sf_dir, "documents")).drop("runs", "passages")
 
 
 @query

@@ -23,6 +23,7 @@ columns pass through `dedup_text` unchanged and are ignored elsewhere.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -345,6 +346,10 @@ def removed_runs(spans, length: int) -> list[tuple[int, int]]:
     return out
 
 
+def _size(runs) -> int:
+    return sum(e - s for s, e in runs)
+
+
 def kept_bytes(raw: bytes, runs) -> bytes:
     out, at = [], 0
     for s, e in runs:
@@ -353,27 +358,35 @@ def kept_bytes(raw: bytes, runs) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
-def _with_spans(documents: DataFrame, length: int, **how) -> DataFrame:
+def _with_spans(documents: DataFrame, *hows: dict) -> DataFrame:
+    """Each row with the spans of all searches; `of` says which one found a span."""
     docs = keyed(documents)
-    spans = repeat_spans(documents, length, **how).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    found = reduce(DataFrame.unionByName, (repeat_spans(documents, **how).withColumn("of", F.lit(k)) for k, how in enumerate(hows)))
+    spans = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("of", "s", "n")).alias("spans"))
     return docs.join(spans, same_row(docs, spans), "left").select("_row", docs["doc_id"], docs["text"], "spans")
 
 
-def suffix_dedup(documents: DataFrame, length: int = LENGTH, **how) -> DataFrame:
-    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed runs (start, end) in bytes."""
+def suffix_dedup(documents: DataFrame, length: int = LENGTH, passage: dict = PASSAGE, **how) -> DataFrame:
+    """A row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passages, n_passage_words, the removed runs (start, end) in bytes and the passages in words.
+
+    Passages are the maximal runs of repeated strings by the search `passage`, of any number of bytes; they are counted, not removed.
+    """
 
     def run(batches):
         for batch in batches:
             out = []
             for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                runs = removed_runs(((x["s"], x["n"]) for x in spans or ()), length)
-                out.append((doc, len(raw), sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept_bytes(raw, runs)).hexdigest(), [{"start": s, "end": e} for s, e in runs]))
-            schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+                runs, passages = (removed_runs(((x["s"], x["n"]) for x in spans or () if x["of"] == k), n) for k, n in enumerate((length, passage["length"])))
+                digest = hashlib.sha256(kept_bytes(raw, runs)).hexdigest()
+                out.append((doc, len(raw), _size(runs), len(runs), digest, len(passages), _size(passages), *([{"start": s, "end": e} for s, e in x] for x in (runs, passages))))
+            long, ranges = pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            schema = pa.schema([("doc_id", long), ("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept_sha256", pa.string()), ("n_passages", long), ("n_passage_words", long), ("runs", ranges), ("passages", ranges)])
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)] if out else [pa.nulls(0, f.type) for f in schema], schema=schema)
 
-    rows = _with_spans(documents, length, **how).select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, runs array<struct<start:long,end:long>>")
+    rows = _with_spans(documents, {"length": length, **how}, passage).select("doc_id", "text", "spans")
+    ranges = "array<struct<start:long,end:long>>"
+    return rows.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, runs {ranges}, passages {ranges}")
 
 
 def _whole_characters(raw: bytes, runs):
@@ -406,6 +419,6 @@ def dedup_text(documents: DataFrame, length: int = LENGTH, words: bool = False,
 
         return pd.Series(out, dtype=object)
 
-    rows = _with_spans(documents, length, words=words, **how)
+    rows = _with_spans(documents, {"length": length, "words": words, **how})
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", "spans"))
     return rows.select(*(text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in documents.columns))

@@ -112,3 +112,32 @@ def test_words_against_brute_force(spark, monkeypatch, hot, rows):
     got = {r.doc_id: r.text for r in suffix.dedup_text(df, 10, words=True, gram=3, symbol=5, hot=hot).collect()}
     for k, want in enumerate(kept_words(texts, 10)):
         assert split(got[k] or "") == want, k
+
+
+def test_short_worded_passages_are_counted_and_stay(spark):
+    """Passages of over 50 words are found below 400 bytes as well; the contract's columns keep to 400 bytes."""
+    rng = random.Random(11)
+    prose = lambda n, m: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, m))) for _ in range(n))
+    short, long = prose(55, 4), prose(70, 12)
+    assert len(short) < 300 and len(long) > 400
+    texts = [f"{prose(30, 9)} {short} {prose(20 + k, 9)} {short if k % 2 else long}" for k in range(6)]
+    texts += [f"{prose(9, 9)}\n{short.upper().replace(' ', '  ')}", prose(90, 9), " ".join(short.split()[:49]), f"{prose(60, 9)} {long}", "", None]
+    rows = list(enumerate(texts)) + [(None, texts[1]), (0, texts[0])]
+    got = suffix.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = Counter()
+    for (doc, text), plain, kept in zip(rows, brute([t for _, t in rows], 400), kept_words([t for _, t in rows], 50)):
+        want[doc, *plain, len(split(text or "")) - len(kept)] += 1
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_passage_words) for r in got) == want
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert (by[6].n_removed, by[6].n_passages, by[6].n_passage_words, by[7].n_passages, by[8].n_passages) == (0, 1, 55, 0, 0)
+    assert [(x.start, x.end) for x in by[3].passages] == [(30, 85), (108, 163)] and by[11].n_passages == 0
+
+
+def test_query_tells_of_passages_below_400_bytes(spark, tmp_path):
+    from tessera.llm.queries import QUERIES
+
+    words = " ".join(f"w{k % 10}{chr(97 + k // 10)}" for k in range(60))
+    rows = [(1, f"alpha beta {words} gamma"), (2, f"delta {words} zeta eta"), (3, "theta iota")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_removed, r.n_passages, r.n_passage_words) for r in QUERIES["op2_suffix_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: (0, 1, 60), 2: (0, 1, 60), 3: (0, 0, 0)}
