@@ -39,9 +39,13 @@ PIECE = 1 << 20
 HOT = 512
 #: Passages by words: a passage of 50 words or more that also occurs elsewhere.
 PASSAGE = {"words": True, "length": 50, "gram": 8, "symbol": 10}
+#: Units of contexts after which a merge ends with its group; more no longer fit the processor's caches.
+MERGE = 1 << 17
 #: Windows of hot anchors that meet in one group.
 MEET = 1 << 20
 SPAN = "doc_id long, tkey long, s int, n int"
+RANGES = "array<struct<start:long,end:long>>"
+DIGEST = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, runs {RANGES}, passages {RANGES}"
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -215,7 +219,9 @@ OUT = pa.schema([("doc_id", pa.int64()), ("tkey", pa.int64()), ("s", pa.int32())
 WINDOW = np.dtype([("f", "<u8"), ("d", "<i8"), ("nil", "<i8"), ("t", "<i8"), ("s", "<i8")])
 
 
-def _merge_rows(length, symbol, shards, parts, unit, limit=1 << 20):
+def _merge_rows(length, symbol, shards, parts, unit):
+    limit = MERGE * np.dtype(unit).itemsize
+
     def merge(rows):
         ctxs = [r[6] for r in rows]
         flags, c = repeated(ctxs, np.array([r[5] for r in rows]), length, symbol, shards, unit)
@@ -346,8 +352,25 @@ def removed_runs(spans, length: int) -> list[tuple[int, int]]:
     return out
 
 
-def _size(runs) -> int:
-    return sum(e - s for s, e in runs)
+def _row_runs(spans: pa.ListArray, of: int, length: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """removed_runs of all rows of a batch, for the spans of one search: each row's place in them, and their starts and ends."""
+    row = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    which, s, n = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in spans.flatten().flatten())
+    row, s, n = (x[which == of] for x in (row, s, n))
+    to = np.argsort(key := (row << 32) + s, kind="stable")
+    row, key = row[to], key[to]
+    high = np.maximum.accumulate(key + n[to] - 1 + length)  # a later row is above any end of the one before
+    first = np.flatnonzero(np.concatenate([[True], key[1:] > high[:-1]])[: len(key)])
+    last = np.append(first[1:], len(key))[: len(first)] - 1
+    low = (1 << 32) - 1
+    return np.searchsorted(row[first], np.arange(len(spans) + 1)), (key[first] & low, high[last] & low)
+
+
+def _kept_sha256(raw: np.ndarray, starts: list[int], ends: list[int]) -> str:
+    digest = hashlib.sha256()
+    for a, b in zip([0, *ends], [*starts, len(raw)]):
+        digest.update(raw[a:b])
+    return digest.hexdigest()
 
 
 def kept_bytes(raw: bytes, runs) -> bytes:
@@ -372,21 +395,21 @@ def suffix_dedup(documents: DataFrame, length: int = LENGTH, passage: dict = PAS
     Passages are the maximal runs of repeated strings by the search `passage`, of any number of bytes; they are counted, not removed.
     """
 
+    ranges = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def run(batches):
         for batch in batches:
-            out = []
-            for doc, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-                runs, passages = (removed_runs(((x["s"], x["n"]) for x in spans or () if x["of"] == k), n) for k, n in enumerate((length, passage["length"])))
-                digest = hashlib.sha256(kept_bytes(raw, runs)).hexdigest()
-                out.append((doc, len(raw), _size(runs), len(runs), digest, len(passages), _size(passages), *([{"start": s, "end": e} for s, e in x] for x in (runs, passages))))
-            long, ranges = pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            schema = pa.schema([("doc_id", long), ("n_bytes", long), ("n_removed", long), ("n_spans", long), ("kept_sha256", pa.string()), ("n_passages", long), ("n_passage_words", long), ("runs", ranges), ("passages", ranges)])
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)] if out else [pa.nulls(0, f.type) for f in schema], schema=schema)
+            raw, off = text_buffer(batch.column(1))
+            found = [_row_runs(batch.column(2), k, n) for k, n in enumerate((length, passage["length"]))]
+            cuts, (starts, ends) = found[0]
+            kept = [_kept_sha256(raw[i:j], starts[a:b].tolist(), ends[a:b].tolist()) for i, j, a, b in zip(off[:-1].tolist(), off[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist())]
+            n_removed, n_words = (np.diff(np.concatenate([[0], np.cumsum(e - s)])[at]) for at, (s, e) in found)
+            lists = (pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(s), pa.array(e)], fields=list(ranges.value_type))) for at, (s, e) in found)
+            columns = [batch.column(0), pa.array(np.diff(off)), pa.array(n_removed), pa.array(np.diff(cuts)), pa.array(kept, pa.string()), pa.array(np.diff(found[1][0])), pa.array(n_words), *lists]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in DIGEST.split(", ")])
 
     rows = _with_spans(documents, {"length": length, **how}, passage).select("doc_id", "text", "spans")
-    ranges = "array<struct<start:long,end:long>>"
-    return rows.mapInArrow(run, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, runs {ranges}, passages {ranges}")
+    return rows.mapInArrow(run, DIGEST)
 
 
 def _whole_characters(raw: bytes, runs):

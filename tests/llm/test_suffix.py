@@ -114,8 +114,10 @@ def test_words_against_brute_force(spark, monkeypatch, hot, rows):
         assert split(got[k] or "") == want, k
 
 
-def test_short_worded_passages_are_counted_and_stay(spark):
+@pytest.mark.parametrize("merge", [suffix.MERGE, 1])
+def test_short_worded_passages_are_counted_and_stay(spark, monkeypatch, merge):
     """Passages of over 50 words are found below 400 bytes as well; the contract's columns keep to 400 bytes."""
+    monkeypatch.setattr(suffix, "MERGE", merge)
     rng = random.Random(11)
     prose = lambda n, m: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, m))) for _ in range(n))
     short, long = prose(55, 4), prose(70, 12)
