@@ -382,10 +382,10 @@ def kept_bytes(raw: bytes, runs) -> bytes:
 
 
 def _with_spans(documents: DataFrame, *hows: dict) -> DataFrame:
-    """Each row with the spans of all searches; `of` says which one found a span."""
+    """Each row with the spans of all searches; if there are several, `of` says which one found a span."""
     docs = keyed(documents)
     found = reduce(DataFrame.unionByName, (repeat_spans(documents, **how).withColumn("of", F.lit(k)) for k, how in enumerate(hows)))
-    spans = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("of", "s", "n")).alias("spans"))
+    spans = found.groupBy("doc_id", "tkey").agg(F.collect_list(F.struct(*["of"][: len(hows) - 1], "s", "n")).alias("spans"))
     return docs.join(spans, same_row(docs, spans), "left").select("_row", docs["doc_id"], docs["text"], "spans")
 
 
